@@ -38,6 +38,8 @@ HOLDERS = 8
 FLUSH = 1 << 20
 #: Members of a hub, or of a shared difference, that one group of rows takes.
 BLOCK = 512
+#: Blocks of a family beyond which its members meet only where they share a difference.
+BLOCKS = 16
 
 
 @lru_cache
@@ -205,9 +207,9 @@ def _compared(n: int, num: int, den: int):
                     lost = np.ones(len(hub), dtype=bool)
                     lost[at[same]] = False
                     delta = np.concatenate([own[~same], hub[lost]]).astype("<u8").tobytes()
-                out.append((k[0], x[i], len(own), int((~same).sum()), linked, delta))
+                out.append((k[0], x[i], m[i], len(own), linked, delta))
             cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["h", "x", "n", "added", "linked", "delta"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["h", "x", "m", "n", "linked", "delta"])
 
     return run
 
@@ -316,22 +318,26 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     heads = sizes.select("h", F.col("h").alias("x"), "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rows = members.unionByName(heads)
     wanted = staged(rows.select("x").distinct(), "wanted")
-    chosen = ids.join(wanted.withColumnRenamed("x", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    # texts are dealt by id at every size: a plan that turns from broadcast to shuffle has no proportion to its input
+    chosen = ids.join(wanted.withColumnRenamed("x", "doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     compared = rows.join(chosen.withColumnRenamed("doc_id", "x"), "x").repartition("h", "salt").sortWithinPartitions("h", "salt", F.col("x") != F.col("h"))
-    compared = staged(compared.select("h", "salt", "x", "m", "text").mapInArrow(_compared(n, num, den), "h long, x long, n long, added long, linked boolean, delta binary"), "compared")
+    compared = staged(compared.select("h", "salt", "x", "m", "text").mapInArrow(_compared(n, num, den), "h long, x long, m long, n long, linked boolean, delta binary"), "compared")
     stars = compared.where("linked").select(F.col("x").alias("src"), F.col("h").alias("dst"))
     # beside the hubs: families with a member that doesn't link with the hub
     loose = compared.where("not linked and delta is not null").select("h").distinct()
     family = compared.where("delta is not null").join(loose, "h", "left_semi")
-    found = family.mapInArrow(_prefixes(num, den), "h long, e long, x long, loose boolean")
+    held = ["h", "e", "x", "g", "n", "loose", "delta"]
+    family = family.withColumn("loose", ~F.col("linked")).withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
+    small = family.where(F.col("g") <= BLOCKS).withColumn("e", F.lit(0).cast("long")).select(*held)
+    large = family.where(F.col("g") > BLOCKS).drop("g")
+    found = large.mapInArrow(_prefixes(num, den), "h long, e long, x long, loose boolean")
     meets = found.groupBy("h", "e").agg(F.count("*").alias("m"), F.max("loose").alias("any")).where("m > 1 and any")
     spots = found.join(meets, ["h", "e"]).select("h", "e", "x", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    spots = small.unionByName(spots.join(large.select("h", "x", "n", "loose", "delta"), ["h", "x"]).select(*held))
     # a block meets itself and every other: blocks = (a, b), a <= b, side 1 for a, 2 for b
-    own = F.pmod(F.xxhash64("x"), F.col("g")).cast("int")
-    spots = spots.select("h", "e", "x", "g", own.alias("o")).select(
-        "h", "e", "x", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct((F.least(j, F.col("o")) * F.col("g") + F.greatest(j, F.col("o"))).alias("blocks"), F.when(j == F.col("o"), 0).when(F.col("o") < j, 1).otherwise(2).alias("side")))).alias("b")
-    )
-    spots = spots.select("h", "e", "x", "b.blocks", "b.side").join(family.select("h", "x", "n", (~F.col("linked")).alias("loose"), "delta"), ["h", "x"])
+    spots = spots.withColumn("o", F.pmod(F.xxhash64("x"), F.col("g")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct((F.least(j, F.col("o")) * F.col("g") + F.greatest(j, F.col("o"))).alias("blocks"), F.when(j == F.col("o"), 0).when(F.col("o") < j, 1).otherwise(2).alias("side")))
+    spots = spots.withColumn("b", F.explode(meet)).select("h", "e", "b.blocks", "x", "b.side", "n", "loose", "delta")
     beside = spots.repartition("h", "e", "blocks").sortWithinPartitions("h", "e", "blocks").mapInArrow(_beside(num, den), "src long, dst long")
     return classes, staged(stars.unionByName(beside).distinct(), "edges")
 
