@@ -138,4 +138,5 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW
     runs = repeated_runs(docs, min_words, window, id_col, text_col)
     runs = staged(runs.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("runs")), "runs")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(runs, "doc_id", "left").mapInArrow(_rebuilt, "doc_id long, text string, n_lines long, n_removed long, words_removed long")
+    # dealt by id at every size, so that the plan doesn't turn from broadcast to shuffle as runs get many
+    return texts.join(runs.hint("merge"), "doc_id", "left").mapInArrow(_rebuilt, "doc_id long, text string, n_lines long, n_removed long, words_removed long")
