@@ -81,5 +81,6 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, round
     else:  # nothing flows: all scores are their seeds' alike
         ranks = seeds.withColumnRenamed("seed", "score")
     bad = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("score")).otherwise(0)).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("score")).otherwise(0)).alias("distrust"))
-    bad = bad.where(F.col("distrust") > factor * F.col("trust")).select("host", F.lit("block").alias("by_host"))
+    # written first, so that its size is known when the join is planned: few hosts are broadcast, pages stay where they are
+    bad = staged(bad.where(F.col("distrust") > factor * F.col("trust")).select("host", F.lit("block").alias("by_host")), "blocked")
     return plain.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("given", "by_host", F.lit("allow")).alias("verdict"))
