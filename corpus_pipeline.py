@@ -12,8 +12,8 @@ from boardflow.plans.staging import shared_dir, staged
 
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The rows whose id isn't among ``ids``; written first, the ids' size is known, and few are broadcast."""
-    return docs.join(staged(ids.distinct(), name), "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose id isn't among ``ids``, dealt by id at every size."""
+    return docs.join(staged(ids.distinct(), name).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix reads it; documents are taken whole."""
     taken = staged(mixing.mix(docs, whole=True).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("doc_id").agg(F.max("times").alias("times")), "taken")
-    return docs.join(taken, "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    return docs.join(taken.hint("merge"), "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
