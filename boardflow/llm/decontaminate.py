@@ -81,7 +81,7 @@ def index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array([nth], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["shard", "docs", "offsets", "keys", "terms"])
             nth += 1
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, INDEX)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tk.lean(run), INDEX)
 
 
 class Shard:
@@ -211,12 +211,13 @@ def blocks_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BLOCK) -> DataFrame:
     """(shard, nth, doc_id, n_words, spans, items): words inside any occurrence of a window, as spans, and whose."""
+    tk.for_long_rows(docs.sparkSession)
     blocks = [windows(*b, window) for b in blocks_of(items, most=most)]
     terms = np.unique(np.concatenate([b.terms for b in blocks]))
     blocks = [Phrases(terms, np.where(b.rows >= 0, np.searchsorted(terms, b.terms)[b.rows] if len(b.terms) else b.rows, -1), b.sizes, b.items) for b in blocks]
     stored = staged(index(docs, terms), "postings")
     schema = "shard long, nth long, doc_id long, n_words long, spans array<struct<from:long,to:long>>, items array<long>"
-    found = [stored.mapInArrow(_found(b), schema) for b in blocks]
+    found = [stored.mapInArrow(tk.lean(_found(b)), schema) for b in blocks]
     if len(found) == 1:
         return found[0]
     every = found[0]
@@ -232,7 +233,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     ``share`` * n_hit >= n_words. A null or empty text has no words; items without words match nothing, and without
     items nothing is hit. Repeated rows come back as often. An empty table gives no rows.
     """
-    out = matches(docs, items, window, most).select("doc_id", "n_words", "spans", "items").mapInArrow(_joined, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = matches(docs, items, window, most).select("doc_id", "n_words", "spans", "items").mapInArrow(tk.lean(_joined), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -258,6 +259,6 @@ def proximity(docs: DataFrame, items: DataFrame, rarest: int = 4, span: int = 30
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["doc_id", "item_id", "at"])
 
-        got = stored.mapInArrow(run, "doc_id long, item_id long, at long")
+        got = stored.mapInArrow(tk.lean(run), "doc_id long, item_id long, at long")
         out = got if out is None else out.unionByName(got)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))

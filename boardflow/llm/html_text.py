@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardflow.llm import textkernel as tk
 from boardflow.plans.staging import staged
 
 #: An element that occurs on so many pages of its host, and on this share of them, is part of the template.
@@ -217,10 +218,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     stays. Pages without a url share the host "". Where nothing is marked as the article, all that neither recurs nor
     goes by name is main text. Repeated rows come back as often. Other columns are not looked at.
     """
+    tk.for_long_rows(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    loose = staged(rows.select("key", "host", "html").mapInArrow(_loose, "key long, host string, seq int, text string, marked boolean, around array<long>"), "loose")
+    loose = staged(rows.select("key", "host", "html").mapInArrow(tk.lean(_loose), "key long, host string, seq int, text string, marked boolean, around array<long>"), "loose")
     seen = loose.select("key", "host", "marked", "seq", F.explode("around").alias("element"))
     # distinct pages first, so that the count of a hot host's element is a sum of partial counts
     spread = seen.select("host", "element", "key").distinct().groupBy("host", "element").agg(F.count("*").alias("on"))
@@ -229,7 +231,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     gone = seen.where("not marked").join(templates, ["host", "element"], "left_semi").select("key", "seq").distinct()
     left = loose.where("not marked").join(gone, ["key", "seq"], "left_anti").select("key", "seq", "text").distinct()
     left = staged(left.groupBy("key").agg(F.collect_list(F.struct("seq", "text")).alias("more")), "left")
-    found = rows.select("key", "page_id", "url", "html").mapInArrow(_inside, pages.select(F.lit(0).cast("long").alias("key"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.expr("array(named_struct('seq', 0, 'text', ''))").alias("blocks")).schema)
+    found = rows.select("key", "page_id", "url", "html").mapInArrow(tk.lean(_inside), pages.select(F.lit(0).cast("long").alias("key"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.expr("array(named_struct('seq', 0, 'text', ''))").alias("blocks")).schema)
     every = F.array_sort(F.concat("blocks", F.coalesce("more", F.array().cast("array<struct<seq:int,text:string>>"))))
     text = F.array_join(F.transform(every, lambda b: b["text"]), "\n\n")
     return found.join(left, "key", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

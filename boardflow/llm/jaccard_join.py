@@ -2,16 +2,19 @@
 
 A text's set is that of its word shingles. Two texts link when ``den * |A & B| >= num * |A | B|``. Then their
 symmetric difference has at most ``k = (den - num) * (|A| + |B|) / (den + num)`` shingles. Sizes fall into
-bands; within a band the domain of shingles is split into ``n1`` parts, so that in one part at least the two
-sets differ in at most ``k2`` shingles, and that part into ``n2`` smaller ones: some ``n2 - k2`` of these hold
-the same shingles in both sets. A signature is the hash of what a set has in one such choice of parts, so linked
-sets share a signature. A set also signs for the next band where that can hold a partner.
+bands; within a band the domain of shingles is split into ``n1`` parts, each of these into ``n2``, and every choice of
+``n2 - k2`` of the smaller ones is enumerated. What a set has in one such choice, hashed, is a signature. A shingle
+that only one of two sets has spoils at most ``c`` of the ``m`` signatures, the choices that its part is in, so linked
+sets share ``m - c * k`` at least. Hence each set needs to give only its first ``c * k + 1`` signatures in any order
+that is the same for all. That order puts rare contents first: a signature is as rare as the rarest shingle in it, by
+a count of shingles in a bounded sample (it orders, and decides nothing). So a passage that very many texts share
+rarely signs. A set also signs for the next band where that can hold a partner.
 
 Components come without all pairs of a group:
 
 1. Texts with equal sets are one class.
 2. All holders of a signature are compared with the smallest of them, their hub: pairs grow with the holders.
-3. Where some holder does not link with the hub, links beside the hub may exist. With D(x) the difference of x
+3. Where some holder does not link with the hub, and a signature has more holders, links beside the hub may exist. With D(x) the difference of x
    and its hub, ``D(x) ^ D(y) = x ^ y``: an x not linked with the hub shares a shingle of D(x) with each y it links
    with, and one of any ``k + 1`` of them. So only holders that share such a shingle are compared, in blocks.
 4. Links go through connected components.
@@ -22,10 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardflow.llm import textkernel as tk
@@ -35,11 +39,18 @@ from boardflow.plans.staging import staged
 U = np.uint64
 #: In one flush of a task, holders of a signature beyond which only the smallest goes to the shuffle.
 HOLDERS = 8
-FLUSH = 1 << 20
+#: Parts that a band's domain is split into, against the fewest that could do: the more, the more choice what signs.
+SPREAD = 2
+#: Texts in the sample that tells rare shingles from common ones, and the size of its table of counts.
+SAMPLE = 4_000
+SEEN_BITS = 22
+#: Bits of the filter that spares most texts the shuffle; where candidates fill it, it spares none and costs little.
+FILTER_BITS = 23
+FLUSH = 1 << 18
 #: Members of a hub, or of a shared difference, that one group of rows takes.
-BLOCK = 512
+BLOCK = 2048
 #: Blocks of a family beyond which its members meet only where they share a difference.
-BLOCKS = 16
+BLOCKS = 8
 
 
 @lru_cache
@@ -56,11 +67,20 @@ def differ(num: int, den: int, size: int | np.ndarray) -> int | np.ndarray:
     return (den - num) * size // (den + num)
 
 
-def signatures(h: np.ndarray, off: np.ndarray, num: int, den: int, k2: int = 1, n2: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of sets given as sorted hashes and offsets."""
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal keys."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    s = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return s, np.diff(np.concatenate([s, [len(keys)]]))
+
+
+def signatures(h: np.ndarray, off: np.ndarray, num: int, den: int, seen: np.ndarray, k2: int = 1, n2: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) of sets given as sorted hashes and offsets; ``seen`` has the sample's counts, by hash."""
     sizes = np.diff(off)
     ends = bands(num, den, 1 << max(4, int(sizes.max(initial=1)).bit_length()))
     own = np.searchsorted(ends, sizes)
+    spoils = comb(n2 - 1, n2 - k2 - 1)
     owners, found = [], []
     for step in (0, 1):
         some = np.flatnonzero((sizes > 0) & ((step == 0) | (den * sizes >= num * (ends[own] + 1))))
@@ -68,25 +88,35 @@ def signatures(h: np.ndarray, off: np.ndarray, num: int, den: int, k2: int = 1,
             continue
         band = own[some] + step
         k = differ(num, den, 2 * ends[band])
-        n1 = np.where(k > 0, -(-(k + 1) // (k2 + 1)), 1)
+        n1 = np.where(k > 0, -(-SPREAD * (k + 1) // (k2 + 1)), 1)
         base = np.concatenate([[0], np.cumsum(n1)])
         n = sizes[some]
         at = np.arange(n.sum()) + np.repeat(off[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         e = tk.mix(h[at] ^ U(0x9E3779B97F4A7C15))
         first = ((e >> U(32)) * np.repeat(n1, n).astype(U) >> U(32)).astype(np.int64) + np.repeat(base[:-1], n)
-        second = ((e & U(0xFFFFFFFF)) * U(n2) >> U(32)).astype(np.int64)
-        parts = tk.sums(tk.mix(e), first * n2 + second, int(base[-1]) * n2).reshape(-1, n2)
+        place = first * n2 + ((e & U(0xFFFFFFFF)) * U(n2) >> U(32)).astype(np.int64)
+        parts = tk.sums(tk.mix(e), place, int(base[-1]) * n2).reshape(-1, n2)
+        rare = np.full(int(base[-1]) * n2, 255, dtype=np.uint8)
+        np.minimum.at(rare, place, seen[(h[at] >> U(64 - SEEN_BITS)).astype(np.int64)])
+        rare = rare.reshape(-1, n2)
         part = np.arange(base[-1]) - np.repeat(base[:-1], n1)
         salt = tk.mix(np.repeat(band, n1).astype(U) << U(40) | part.astype(U))
-        whole = np.repeat(k == 0, n1)
-        owner = np.repeat(some, n1)
+        whole = np.repeat(k == 0, n1)  # sets that must be equal have one signature, of all parts
+        owner = np.repeat(np.arange(len(some)), n1)
+        sigs, keys, whose = [tk.mix(parts[whole].sum(axis=1) + salt[whole])], [rare[whole].min(axis=1)], [owner[whole]]
         for j, kept in enumerate(combinations(range(n2), n2 - k2)):
-            sig = tk.mix(sum((parts[:, c] for c in kept), salt + U(j)))
-            if j == 0:  # sets that must be equal have one signature, of all parts
-                sig = np.where(whole, tk.mix(sum((parts[:, c] for c in range(n2)), salt)), sig)
-                owners.append(owner), found.append(sig)
-            else:
-                owners.append(owner[~whole]), found.append(sig[~whole])
+            kept = list(kept)
+            sigs.append(tk.mix(parts[~whole][:, kept].sum(axis=1) + salt[~whole] + U(j)))
+            keys.append(rare[~whole][:, kept].min(axis=1))
+            whose.append(owner[~whole])
+        sig, key, owner = np.concatenate(sigs), np.concatenate(keys), np.concatenate(whose)
+        order = np.lexsort((key.astype(U) << U(56) | sig >> U(8), owner))
+        starts, count = _runs(owner[order])
+        rank = np.arange(len(order)) - np.repeat(starts, count)
+        # no partner is larger than n * den / num, nor farther than that allows
+        far = np.minimum(k, differ(num, den, n + n * den // num))
+        given = order[rank <= (spoils * far)[owner[order]]]
+        owners.append(some[owner[given]]), found.append(sig[given])
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     return np.concatenate(owners), np.concatenate(found)
@@ -96,7 +126,9 @@ def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tk.distinct(*tk.shingles(tk.words(column, tk.SPACED), n))
 
 
-def _digests(n: int):
+def _digests(n: int, share: int):
+    """Size and digest of each set; of a sample of texts, share of 2**32, also the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
             h, off = sets_of(part.column("text"), n)
@@ -105,23 +137,33 @@ def _digests(n: int):
             a, b = (tk.sums(tk.mix(h ^ U(s)), owner, len(sizes)) for s in (0x1234567, 0x89ABCDEF01))
             both = np.stack([a, b], axis=1).tobytes()
             digest = pa.array([both[16 * i : 16 * i + 16] if s else None for i, s in enumerate(sizes.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), digest], ["doc_id", "n_shingles", "digest"])
+            drawn = (tk.mix(a) >> U(32)) < U(share)  # by content, so that copies weigh as one text or none
+            some = pa.array([h[i:j].astype("<u8").tobytes() if d else None for i, j, d in zip(off[:-1].tolist(), off[1:].tolist(), drawn.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), digest, some], ["doc_id", "n_shingles", "digest", "drawn"])
 
     return run
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of equal keys."""
-    if not len(keys):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    s = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return s, np.diff(np.concatenate([s, [len(keys)]]))
+_SHIPPED = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("sigs", pa.binary()), ("x", pa.int64()), ("h", pa.int64())])
 
 
-_SHIPPED = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("sigs", pa.binary()), ("x", pa.int64()), ("h", pa.int64())])
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SEEN_BITS, dtype=np.uint16)
+    for part in batches:
+        for blob in part.column("drawn").to_pylist():  # a text has a shingle once
+            at, n = np.unique((np.frombuffer(blob, "<u8") >> U(64 - SEEN_BITS)).astype(np.int64), return_counts=True)
+            total[at] += np.minimum(n, 65535 - total[at]).astype(np.uint16)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
 
+def _seen(info: DataFrame) -> np.ndarray:
+    """Counts of the sample's shingles by hash, as a logarithm in a byte: a table of 2**SEEN_BITS."""
+    rows = info.where("drawn is not null").select("drawn").repartition(2).mapInArrow(tk.lean(_tallied), "counts binary").collect()
+    total = sum((np.frombuffer(r[0], "<u2").astype(np.int64) for r in rows), np.zeros(1 << SEEN_BITS, dtype=np.int64))
+    return np.minimum(4 * np.log2(1.0 + total), 254).astype(np.uint8)
 
-def _shipped(n: int, num: int, den: int, buckets: int):
+
+def _shipped(n: int, num: int, den: int, buckets: int, seen: np.ndarray):
     """Signatures by bucket, in blobs; and pairs of holder and local hub of signatures with many holders here."""
 
     def flush(ids: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +196,7 @@ def _shipped(n: int, num: int, den: int, buckets: int):
         ids, sigs, held = [], [], 0
         for part in tk.slices(batches, "text"):
             h, off = sets_of(part.column("text"), n)
-            owner, sig = signatures(h, off, num, den)
+            owner, sig = signatures(h, off, num, den, seen)
             ids.append(np.asarray(part.column("doc_id"))[owner])
             sigs.append(sig)
             held += len(sig)
@@ -168,7 +210,7 @@ def _shipped(n: int, num: int, den: int, buckets: int):
 
 
 def _hubs(group: pa.Table) -> pa.Table:
-    """(x, hub) of the holders of each signature in a bucket."""
+    """(x, hub, crowd) of the holders of each signature in a bucket; crowd: there are others beside the two."""
     doc = np.concatenate([np.cumsum(np.frombuffer(b, dtype="<i8")) for b in group.column("ids").to_pylist()])
     six = np.concatenate([np.frombuffer(b, dtype=np.uint8).reshape(-1, 6) for b in group.column("sigs").to_pylist()])
     sig = np.zeros((len(six), 8), dtype=np.uint8)
@@ -178,8 +220,8 @@ def _hubs(group: pa.Table) -> pa.Table:
     doc, sig = doc[order], sig[order]
     s, n = _runs(sig)
     hub = np.repeat(doc[s], n)
-    pairs = np.unique(np.stack([doc, hub], axis=1)[doc != hub], axis=0)
-    return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "h": pa.array(pairs[:, 1], pa.int64())})
+    pairs = np.unique(np.stack([doc, hub, np.repeat(n > 2, n)], axis=1)[doc != hub], axis=0)
+    return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "h": pa.array(pairs[:, 1], pa.int64()), "crowd": pa.array(pairs[:, 2] > 0, pa.bool_())})
 
 
 def _compared(n: int, num: int, den: int):
@@ -277,7 +319,7 @@ def _beside(num: int, den: int):
         def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["src", "dst"])
 
-        for part in batches:
+        for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             found = []
             for g, *row in zip(zip(*(part.column(c).to_pylist() for c in ("h", "e", "blocks")), strict=True), *(part.column(c).to_pylist() for c in ("h", "x", "side", "n", "loose", "delta")), strict=True):
                 if g != now:
@@ -296,41 +338,47 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     Links join all that the threshold joins, though not by every pair: their components are those of all links.
     """
     spark = docs.sparkSession
+    tk.for_long_rows(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    info = staged(texts.mapInArrow(_digests(n), "doc_id long, n_shingles long, digest binary"), "sets")
-    reps = info.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    share = min(1 << 32, (SAMPLE << 32) // max(1, docs.count()))
+    info = staged(texts.mapInArrow(tk.lean(_digests(n, share)), "doc_id long, n_shingles long, digest binary, drawn binary"), "sets")
+    seen = _seen(info)
+    # written, so that the join deals both sides anew and a digest of very many copies can be split
+    reps = staged(info.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     classes = staged(info.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     ids = texts.where("doc_id is not null and text is not null")
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shipped = ids.mapInArrow(_shipped(n, num, den, buckets), "bucket long, ids binary, sigs binary, x long, h long")
+    shipped = ids.mapInArrow(tk.lean(_shipped(n, num, den, buckets, seen)), "bucket long, ids binary, sigs binary, x long, h long")
     bucket = F.coalesce("bucket", F.lit(-1) - F.pmod(F.xxhash64("x", "h"), F.lit(buckets)))
-    both = staged(shipped.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_local_or_global, "x long, h long, local boolean"), "hubs")
-    local, far = both.where("local").select("x", "h").distinct(), both.where("not local").select("x", "h").distinct()
-    through = local.join(far.select(F.col("x").alias("h"), F.col("h").alias("top")), "h").select("x", F.col("top").alias("h"))
-    holders = local.unionByName(far).unionByName(through).distinct()
+    both = staged(shipped.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_local_or_global, "x long, h long, crowd boolean, local boolean"), "hubs")
+    local, far = both.where("local").select("x", "h", "crowd").distinct(), both.where("not local").select("x", "h", "crowd").distinct()
+    through = local.join(far.select(F.col("x").alias("h"), F.col("h").alias("top")).distinct(), "h").select("x", F.col("top").alias("h"), "crowd")
+    # a local hub stands for its holders: with them, its far signatures have a crowd
+    far = far.join(local.select(F.col("h").alias("x")).distinct().withColumn("more", F.lit(True)), "x", "left").select("x", "h", (F.col("crowd") | F.coalesce("more", F.lit(False))).alias("crowd"))
+    holders = local.unionByName(far).unionByName(through)
     to = classes.select("doc_id", "rep").distinct()
     pairs = holders.join(to.toDF("x", "rx"), "x").join(to.toDF("h", "rh"), "h").where("rx <> rh")
-    pairs = staged(pairs.select(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).distinct(), "pairs")
+    pairs = staged(pairs.groupBy(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).agg(F.max("crowd").alias("crowd")), "pairs")
     # families: the members of a hub, in groups of at most about BLOCK, with the hub's row in each
-    sizes = pairs.groupBy("h").agg(F.count("*").alias("m"))
-    salts = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = pairs.join(sizes, "h").select("h", "x", "m", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
+    sizes = pairs.groupBy("h").agg(F.count("*").alias("all"), F.count(F.when(F.col("crowd"), 1)).alias("m"))
+    salts = F.ceil(F.col("all") / BLOCK).cast("int")
+    members = pairs.join(sizes, "h").select("h", "x", F.when(F.col("crowd"), F.col("m")).otherwise(0).alias("m"), F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
     heads = sizes.select("h", F.col("h").alias("x"), "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rows = members.unionByName(heads)
     wanted = staged(rows.select("x").distinct(), "wanted")
     # texts are dealt by id at every size: a plan that turns from broadcast to shuffle has no proportion to its input
-    chosen = ids.join(wanted.withColumnRenamed("x", "doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    chosen = _perhaps(ids, wanted.withColumnRenamed("x", "doc_id")).join(wanted.withColumnRenamed("x", "doc_id").hint("merge"), "doc_id")  # not a semi-join: that would be moved below the filter
+    chosen = chosen.groupBy("doc_id").agg(F.first("text").alias("text"))
     compared = rows.join(chosen.withColumnRenamed("doc_id", "x"), "x").repartition("h", "salt").sortWithinPartitions("h", "salt", F.col("x") != F.col("h"))
-    compared = staged(compared.select("h", "salt", "x", "m", "text").mapInArrow(_compared(n, num, den), "h long, x long, m long, n long, linked boolean, delta binary"), "compared")
+    compared = staged(compared.select("h", "salt", "x", "m", "text").mapInArrow(tk.lean(_compared(n, num, den)), "h long, x long, m long, n long, linked boolean, delta binary"), "compared")
     stars = compared.where("linked").select(F.col("x").alias("src"), F.col("h").alias("dst"))
-    # beside the hubs: families with a member that doesn't link with the hub
-    loose = compared.where("not linked and delta is not null").select("h").distinct()
-    family = compared.where("delta is not null").join(loose, "h", "left_semi")
+    # beside the hubs: members that don't link with theirs, against the others of the family
+    family = compared.where("delta is not null")
     held = ["h", "e", "x", "g", "n", "loose", "delta"]
     family = family.withColumn("loose", ~F.col("linked")).withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
     small = family.where(F.col("g") <= BLOCKS).withColumn("e", F.lit(0).cast("long")).select(*held)
     large = family.where(F.col("g") > BLOCKS).drop("g")
-    found = large.mapInArrow(_prefixes(num, den), "h long, e long, x long, loose boolean")
+    found = large.mapInArrow(tk.lean(_prefixes(num, den)), "h long, e long, x long, loose boolean")
     meets = found.groupBy("h", "e").agg(F.count("*").alias("m"), F.max("loose").alias("any")).where("m > 1 and any")
     spots = found.join(meets, ["h", "e"]).select("h", "e", "x", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
     spots = small.unionByName(spots.join(large.select("h", "x", "n", "loose", "delta"), ["h", "x"]).select(*held))
@@ -338,13 +386,26 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     spots = spots.withColumn("o", F.pmod(F.xxhash64("x"), F.col("g")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct((F.least(j, F.col("o")) * F.col("g") + F.greatest(j, F.col("o"))).alias("blocks"), F.when(j == F.col("o"), 0).when(F.col("o") < j, 1).otherwise(2).alias("side")))
     spots = spots.withColumn("b", F.explode(meet)).select("h", "e", "b.blocks", "x", "b.side", "n", "loose", "delta")
-    beside = spots.repartition("h", "e", "blocks").sortWithinPartitions("h", "e", "blocks").mapInArrow(_beside(num, den), "src long, dst long")
+    beside = spots.repartition("h", "e", "blocks").sortWithinPartitions("h", "e", "blocks").mapInArrow(tk.lean(_beside(num, den)), "src long, dst long")
     return classes, staged(stars.unionByName(beside).distinct(), "edges")
 
 
+def _perhaps(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ids``, by one bit of a table of 2**FILTER_BITS: 2 MB to broadcast at most."""
+
+    def spot(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c), F.lit("filter")), F.lit(1 << FILTER_BITS))
+
+    words = ids.select(F.shiftright(spot("doc_id"), 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, 'filter'), 64) as int))").alias("bit"))
+    table = F.broadcast(words.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    asked = rows.withColumn("word", F.shiftright(spot("doc_id"), 6))
+    return asked.join(table, "word").where("shiftright(bits, cast(pmod(xxhash64(doc_id, 'filter'), 64) as int)) & 1L = 1").select(*rows.columns)
+
+
 def _local_or_global(key: tuple, group: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
-        return group.select(["x", "h"]).append_column("local", pa.array([True] * group.num_rows, pa.bool_()))
+        yes = pa.array([True] * group.num_rows, pa.bool_())
+        return group.select(["x", "h"]).append_column("crowd", yes).append_column("local", yes)
     out = _hubs(group)
     return out.append_column("local", pa.array([False] * out.num_rows, pa.bool_()))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boardflow.llm.quality import remainder
-from boardflow.llm.textkernel import slices
+from boardflow.llm.textkernel import for_long_rows, lean, slices
 
 MAX_TRAIN = 8_000
 LONGEST = 5
@@ -103,12 +103,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, keep: Column, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of rows for which ``keep`` holds, with a text and a language."""
+    for_long_rows(docs.sparkSession)
     rows = docs.where(keep).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = min(1.0, max_train / max(1, rows.count()))
     some = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = some.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     priors = {r["lang"]: r["c"] for r in texts.groupBy("lang").agg(F.count("*").alias("c")).collect()}
-    counts = texts.mapInArrow(_counted, "n int, item string, lang string, times long").groupBy("n", "item", "lang").agg(F.sum("times").alias("times"))
+    counts = texts.mapInArrow(lean(_counted), "n int, item string, lang string, times long").groupBy("n", "item", "lang").agg(F.sum("times").alias("times"))
     languages = sorted(priors)
     # items seen too rarely in all go before they are collected; the rest is bounded by the texts read
     per = counts.groupBy("n", "item").agg(F.sum("times").alias("all"), *(F.sum(F.when(F.col("lang") == k, F.col("times")).otherwise(0)).alias(f"c{i}") for i, k in enumerate(languages)))
@@ -137,7 +138,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             got = [model.predict(t or "") for t in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*part.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def language_id(docs: DataFrame, fold: int = 4, held: int = 2, max_train: int = MAX_TRAIN) -> DataFrame:

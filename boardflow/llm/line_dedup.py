@@ -117,14 +117,16 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, from, to, first): runs of lines with words, counted from 0, that occur before, in document ``first``."""
+    tk.for_long_rows(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = staged(texts.mapInArrow(_lines(min_words, window), "doc_id long, lines binary, words binary, starts array<int>, units array<long>").dropDuplicates(["doc_id"]), "lines")
+    lines = staged(texts.mapInArrow(tk.lean(_lines(min_words, window)), "doc_id long, lines binary, words binary, starts array<int>, units array<long>").dropDuplicates(["doc_id"]), "lines")
     spots = lines.select("doc_id", F.explode(F.arrays_zip("starts", "units")).alias("u")).select("doc_id", F.col("u.starts").alias("at"), F.col("u.units").alias("unit"))
-    firsts = spots.groupBy("unit").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("unit", "f")
+    # written, so that the join deals both sides anew and a very common unit can be split
+    firsts = staged(spots.groupBy("unit").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("unit", "f"), "firsts")
     later = spots.join(firsts, "unit").where("struct(doc_id, at) <> f")
     diagonals = later.select("doc_id", F.col("f.doc_id").alias("first"), (F.col("f.at") - F.col("at")).alias("shift")).distinct()
     matched = diagonals.join(lines.select("doc_id", "lines", "words"), "doc_id").join(lines.select(F.col("doc_id").alias("first"), F.col("lines").alias("other")), "first")
-    return matched.select("doc_id", "first", "shift", "lines", "words", "other").mapInArrow(_extended(min_words), "doc_id long, from int, to int, first long")
+    return matched.select("doc_id", "first", "shift", "lines", "words", "other").mapInArrow(tk.lean(_extended(min_words)), "doc_id long, from int, to int, first long")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,4 +141,4 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW
     runs = staged(runs.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("runs")), "runs")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # dealt by id at every size, so that the plan doesn't turn from broadcast to shuffle as runs get many
-    return texts.join(runs.hint("merge"), "doc_id", "left").mapInArrow(_rebuilt, "doc_id long, text string, n_lines long, n_removed long, words_removed long")
+    return texts.join(runs.hint("merge"), "doc_id", "left").mapInArrow(tk.lean(_rebuilt), "doc_id long, text string, n_lines long, n_removed long, words_removed long")

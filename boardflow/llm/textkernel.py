@@ -7,11 +7,14 @@ and every retry agrees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -44,7 +47,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``most`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -165,3 +168,29 @@ def sums(h: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     low = np.bincount(place, weights=(h & U(0xFFFFFFFF)).astype(np.float64), minlength=n)
     high = np.bincount(place, weights=(h >> U(32)).astype(np.float64), minlength=n)
     return low.astype(U) + (high.astype(U) << U(32))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving the memory it has used back to the system: workers wait for further tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    """Give memory that is free back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def for_long_rows(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows, where the session has Spark's 10,000: those of long texts take tens of MB, twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
