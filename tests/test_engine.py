@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardflow.functions import bits
-from boardflow.functions import blocks as B
 from boardflow.functions import boards as P
 from boardflow.operators import display, graph, layout, session, statespace
 from boardflow.operators.components import connected_components
@@ -64,7 +63,8 @@ def test_klotski_by_placements(spark):
     starts = starts.select(F.lit(0).cast("long").alias("board_id"), F.lit(4).alias("w"), F.lit(5).alias("h"), F.lit(1).alias("gx"), F.lit(3).alias("gy"), F.lit(False).alias("restricted"), F.lit(True).alias("goal"), F.array("t").alias("blocks"))
     level = starts
     for shape, n in counts.items():
-        level = statespace.placements(level, [shape], 4, 5, n).where(F.size(F.filter("blocks", lambda v, s=shape: B.shape_of(v) == (s[1] - 1) * 32 + (s[0] - 1) * 4)) == n)
+        like = (shape[1] - 1) * 32 + (shape[0] - 1) * 4
+        level = statespace.placements(level, [shape], 4, 5, n).where(f"size(filter(blocks, v -> (v & 255) = {like})) = {n}")
     states = level.withColumn("state_key", P.state_key()).persist()
     assert states.count() == 65880
     links = statespace.successors(states.withColumnRenamed("state_key", "src")).drop("blocks").withColumnRenamed("next", "blocks").select("src", P.state_key().alias("dst")).persist()
@@ -106,7 +106,7 @@ def test_presets(spark, tmp_path):
     assert [r["name"] for r in got.orderBy("idx").collect()] == ["One", "Two"]
     f.write_text(f"# One\n{KLOTSKI}\n# Two\nS:[3x3] M:[F] B:[{{2X1 _ _}} {{_ _ _}} {{_ _ _}}]\n")
     assert presets.read(spark, str(f)).isEmpty() and presets.read(spark, str(f), permissive=True).count() == 1
-    presets.append(got.withColumn("name", F.lit("Copy")), str(tmp_path / "out"))
+    presets.append(presets.read(spark, str(f), permissive=True).withColumn("name", F.lit("Copy")), str(tmp_path / "out"))
     assert any("# Copy" in p.read_text() for p in Path(tmp_path / "out").glob("part-*"))
     assert presets.neighbour(0, -1, 15) == 14
 
@@ -123,8 +123,8 @@ def test_first_empty_and_corners(spark):
 
 def test_edits(spark):
     b = spark.createDataFrame([(0, 4, 4, 2, 1, False, True, [block(0, 1, 2, 1, 1), block(3, 0, 1, 2)])], SCHEMA)
-    r = b.select(P.toggle_target(3, 1).alias("t"), P.toggle_wall(0, 1).alias("w"), P.toggle_target(0, 0).alias("n"), P.set_goal(2, 1).alias("same"), P.set_goal(0, 3).alias("g"), P.set_goal(3, 3).alias("off"), P.resized(0, -1).alias("row"), P.resized(-1, 0).alias("col"), P.resized(1, 0).alias("wide"), P.add_block(F.lit(block(3, 1, 1, 1))).alias("hit")).first()
-    assert r["t"] == sorted([block(0, 1, 2, 1), block(3, 0, 1, 2, 1)]) and r["w"] is None and r["n"] is None and r["hit"] is None and r["off"] is None
+    r = b.select(P.toggle_target(3, 1).alias("t"), P.toggle_wall(0, 1).alias("wall"), P.toggle_target(0, 0).alias("n"), P.set_goal(2, 1).alias("same"), P.set_goal(0, 3).alias("g"), P.set_goal(3, 3).alias("off"), P.resized(0, -1).alias("row"), P.resized(-1, 0).alias("col"), P.resized(1, 0).alias("wide"), P.add_block(F.lit(block(3, 1, 1, 1))).alias("hit")).first()
+    assert r["t"] == sorted([block(0, 1, 2, 1), block(3, 0, 1, 2, 1)]) and r["wall"] is None and r["n"] is None and r["hit"] is None and r["off"] is None
     assert not r["same"]["goal"] and (r["g"]["gx"], r["g"]["gy"], r["g"]["goal"]) == (0, 3, True)
     assert (r["row"]["h"], r["row"]["gx"], r["row"]["goal"]) == (3, 2, True) and (r["col"]["w"], r["col"]["gx"], r["col"]["goal"]) == (3, 0, False) and r["wide"]["w"] == 5
     assert r["col"]["blocks"] == [block(0, 1, 2, 1, 1)]
