@@ -43,7 +43,7 @@ HOLDERS = 8
 SPREAD = 2
 #: Texts in the sample that tells rare shingles from common ones, and the size of its table of counts.
 SAMPLE = 4_000
-SEEN_BITS = 22
+SEEN_BITS = 19
 #: Bits of the filter that spares most texts the shuffle; where candidates fill it, it spares none and costs little.
 FILTER_BITS = 23
 FLUSH = 1 << 18
@@ -159,8 +159,14 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _seen(info: DataFrame) -> np.ndarray:
     """Counts of the sample's shingles by hash, as a logarithm in a byte: a table of 2**SEEN_BITS."""
     rows = info.where("drawn is not null").select("drawn").repartition(2).mapInArrow(tk.lean(_tallied), "counts binary").collect()
-    total = sum((np.frombuffer(r[0], "<u2").astype(np.int64) for r in rows), np.zeros(1 << SEEN_BITS, dtype=np.int64))
-    return np.minimum(4 * np.log2(1.0 + total), 254).astype(np.uint8)
+    total = np.zeros(1 << SEEN_BITS, dtype=np.uint32)
+    for r in rows:
+        total += np.frombuffer(r[0], "<u2")
+    logs = np.minimum(4 * np.log2(1.0 + np.arange(1 << 16)), 254).astype(np.uint8)
+    seen = logs[np.minimum(total, (1 << 16) - 1)]
+    del rows, total
+    tk.trim()
+    return seen
 
 
 def _shipped(n: int, num: int, den: int, buckets: int, seen: np.ndarray):
@@ -360,7 +366,8 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     pairs = holders.join(to.toDF("x", "rx"), "x").join(to.toDF("h", "rh"), "h").where("rx <> rh")
     pairs = staged(pairs.groupBy(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).agg(F.max("crowd").alias("crowd")), "pairs")
     # families: the members of a hub, in groups of at most about BLOCK, with the hub's row in each
-    sizes = pairs.groupBy("h").agg(F.count("*").alias("all"), F.count(F.when(F.col("crowd"), 1)).alias("m"))
+    # written, so that the join deals both sides anew and a hub of very many holders can be split
+    sizes = staged(pairs.groupBy("h").agg(F.count("*").alias("all"), F.count(F.when(F.col("crowd"), 1)).alias("m")), "sizes")
     salts = F.ceil(F.col("all") / BLOCK).cast("int")
     members = pairs.join(sizes, "h").select("h", "x", F.when(F.col("crowd"), F.col("m")).otherwise(0).alias("m"), F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
     heads = sizes.select("h", F.col("h").alias("x"), "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))

@@ -5,7 +5,7 @@ row. Each feature is scaled by the log ratio of its smoothed counts in the two c
 is fitted to the scaled indicators by dual coordinate descent. Margins become scores by a logistic curve fitted on
 rows that the model was not fitted on.
 
-The fit takes at most about ``max_train`` labelled rows, chosen by the hash of their id: 6,000 by default. That
+The fit takes at most about ``max_train`` labelled rows, chosen by the hash of their id: 4,000 by default. That
 bounds the driver's share; the weights are one array of fixed length. Every row is scored, whole.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from boardflow.llm import textkernel as tk
 
-MAX_TRAIN = 6_000
+MAX_TRAIN = 4_000
 BITS = 18
 U = np.uint64
 
