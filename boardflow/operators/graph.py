@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardflow.plans.staging import staged
+from boardflow.plans.staging import Rounds, staged
 
 
 def undirected(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -19,30 +19,32 @@ def distances(links: DataFrame, targets: DataFrame, src: str = "src", dst: str =
 
     One breadth-first search from all targets at once, level by level. Ties go to the smallest nearest target, then
     the smallest next hop: minima, which combine before the shuffle. parent of a target is null, nearest itself.
+    Links go both ways, so a neighbour of a level is in it, in the one before or in the next: a round reads these
+    two levels and not all that was reached.
     """
     edges = staged(undirected(links, src, dst), "edges")
-    level = staged(targets.select(F.col(targets.columns[0]).alias("id")).distinct().select("id", F.lit(0).alias("distance"), F.col("id").alias("nearest")).withColumn("parent", F.expr("nullif(id, id)")), "level0")
-    seen = level
+    rounds = Rounds(links.sparkSession, "levels")
+    level = rounds.add(targets.select(F.col(targets.columns[0]).alias("id")).distinct().select("id", F.lit(0).alias("distance"), F.col("id").alias("nearest"), F.expr("nullif(id, id)").alias("parent")))
+    near = level
     for i in range(1, max_rounds):
-        near = edges.join(level.select(F.col("id").alias("dst"), "nearest"), "dst").groupBy(F.col("src").alias("id")).agg(F.min(F.struct("nearest", "dst")).alias("m"))
-        fresh = near.join(seen.select("id"), "id", "left_anti").select("id", F.lit(i).alias("distance"), F.col("m.nearest").alias("nearest"), F.col("m.dst").alias("parent"))
-        level = staged(fresh, f"level{i}")
+        found = edges.join(level.select(F.col("id").alias("dst"), "nearest"), "dst").groupBy(F.col("src").alias("id")).agg(F.min(F.struct("nearest", "dst")).alias("m"))
+        fresh = found.join(near.select("id"), "id", "left_anti").select("id", F.lit(i).alias("distance"), F.col("m.nearest").alias("nearest"), F.col("m.dst").alias("parent"))
+        last, level = level, rounds.add(fresh)
         if level.isEmpty():
-            return seen.select("id", "distance", "parent", "nearest")
-        seen = seen.unionByName(level)
+            return rounds.all()
+        near = last.unionByName(level)
     raise RuntimeError(f"nodes are still being reached after {max_rounds} rounds")
 
 
 def path(found: DataFrame, start: DataFrame, max_hops: int = 1000) -> DataFrame:
     """(start, step, id) from each start to its nearest target; none where no target can be reached."""
-    at = staged(start.select(F.col(start.columns[0]).alias("id")).distinct().join(found.select("id", "parent"), "id").select(F.col("id").alias("start"), F.lit(0).alias("step"), "id", "parent"), "step0")
-    out = at
+    rounds = Rounds(found.sparkSession, "steps")
+    at = rounds.add(start.select(F.col(start.columns[0]).alias("id")).distinct().join(found.select("id", "parent"), "id").select(F.col("id").alias("start"), F.lit(0).alias("step"), "id", "parent"))
     for i in range(1, max_hops):
-        at = staged(at.where("parent is not null").select("start", F.col("parent").alias("id")).join(found.select("id", "parent"), "id").select("start", F.lit(i).alias("step"), "id", "parent"), f"step{i}")
+        at = rounds.add(at.where("parent is not null").select("start", F.col("parent").alias("id")).join(found.select("id", "parent"), "id").select("start", F.lit(i).alias("step"), "id", "parent"))
         if at.isEmpty():
             break
-        out = out.unionByName(at)
-    return out.select("start", "step", "id")
+    return rounds.all().select("start", "step", "id")
 
 
 def most_distant(found: DataFrame) -> DataFrame:

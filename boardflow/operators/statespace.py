@@ -13,7 +13,7 @@ from boardflow.functions import blocks as B
 from boardflow.functions import boards as P
 from boardflow.operators.components import connected_components
 from boardflow.operators.graph import distances
-from boardflow.plans.staging import staged
+from boardflow.plans.staging import Rounds, staged
 
 BOARD = ["board_id", "w", "h", "gx", "gy", "restricted", "goal"]
 
@@ -50,17 +50,15 @@ def explore(boards: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, DataF
     deepest board has levels.
     """
     cols = [*BOARD, "blocks"]
-    fresh = staged(boards.select(*cols).distinct().withColumn("state_key", P.state_key()), "start")
-    states, links = fresh, None
+    states, links = Rounds(boards.sparkSession, "states"), Rounds(boards.sparkSession, "steps")
+    fresh = states.add(boards.select(*cols).distinct().withColumn("state_key", P.state_key()))
     for _ in range(max_rounds):
         steps = successors(fresh.withColumnRenamed("state_key", "src")).drop("blocks").withColumnRenamed("next", "blocks").withColumn("state_key", P.state_key())
-        steps = staged(steps.select(*cols, "src", "state_key"), "steps")
-        more = steps.select("board_id", "src", F.col("state_key").alias("dst"))
-        links = more if links is None else links.unionByName(more)
-        fresh = staged(steps.drop("src").dropDuplicates(["board_id", "state_key"]).join(states.select("board_id", "state_key"), ["board_id", "state_key"], "left_anti").select(*cols, "state_key"), "fresh")
+        steps = links.add(steps.select(*cols, "src", "state_key"))
+        # boards whose blocks overlap have steps that don't go back, so a new state must be held against all
+        fresh = states.add(steps.drop("src").dropDuplicates(["board_id", "state_key"]).join(states.all().select("board_id", "state_key"), ["board_id", "state_key"], "left_anti").select(*cols, "state_key"))
         if fresh.isEmpty():
-            return states, links
-        states = states.unionByName(fresh)
+            return states.all(), links.all().select("board_id", "src", F.col("state_key").alias("dst"))
     raise RuntimeError(f"states are still being found after {max_rounds} rounds")
 
 

@@ -33,3 +33,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/boardflow-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The results of a loop's rounds, each written as it comes, side by side in one shared folder."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/boardflow-{uuid.uuid4().hex}/{name}", 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """``df`` written as the next round, and read back."""
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        self.n, self.schema = self.n + 1, df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds: one scan, however many rounds there were."""
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
