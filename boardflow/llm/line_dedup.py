@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of line runs.
 
 A text's lines are hashed. From each line on, the shortest run of lines with at least ``min_words`` words is a unit,
-hashed as a whole. Winnowing picks the smallest hash of every ``window`` units in a row as a fingerprint, and every
-unit that is one line by itself: a repeated passage of ``window`` units, or with one line of ``min_words`` words,
-has a fingerprint wherever it occurs. Each occurrence of a fingerprint is joined with the first one (by doc_id, then
-line), never with all others. The match is extended both ways along its diagonal as far as lines agree, and the run
-is deleted where it occurs later. The first occurrence stays.
+and so is the shortest such run that ends with a line; units are hashed as a whole, and all are fingerprints. So every
+line of a repeated passage of ``min_words`` words, of however few or short lines, lies in a unit that repeats with it:
+one that starts at a line of the passage, or the one that ends with it. Each occurrence of a fingerprint is joined
+with the first one (by doc_id, then line), never with all others. The match is extended both ways along its diagonal
+as far as lines agree, and the run is deleted where it occurs later. The first occurrence stays.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from boardflow.llm import textkernel as tk
 from boardflow.plans.staging import staged
 
 MIN_WORDS = 50
-WINDOW = 4
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _NEWLINE = np.ones(256, dtype=bool)
 _NEWLINE[0x0A] = False
 
@@ -43,36 +44,34 @@ def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, count, np.searchsorted(owner[at], np.arange(len(w) + 1))
 
 
-def units(h: np.ndarray, count: np.ndarray, min_words: int, window: int) -> tuple[list[int], list[int]]:
-    """Start lines and hashes of one text's fingerprints."""
+def units(h: np.ndarray, count: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start lines, counted from 0 in each text, and hashes of the units of several texts, and offsets by text."""
+    n = len(h)
     total = np.concatenate([[0], np.cumsum(count)])
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    line = np.arange(n)
     end = np.searchsorted(total, total[:-1] + min_words)
-    ok = end < len(total)
-    starts = np.flatnonzero(ok)
-    if not len(starts):
-        return [], []
-    unit = np.empty(len(starts), dtype=np.uint64)
-    for i, s in enumerate(starts.tolist()):
-        part = h[s : int(end[s])]
-        unit[i] = tk.mix(tk.mix(part + np.arange(len(part), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True))[0]
-    picked = {i for i, s in enumerate(starts.tolist()) if end[s] == s + 1}
-    for i in range(max(1, len(unit) - window + 1)):
-        part = unit[i : i + window]
-        picked.add(i + len(part) - 1 - int(part[::-1].argmin()))
-    chosen = sorted(picked)
-    return [int(starts[i]) for i in chosen], [int(unit[i].astype(np.int64)) for i in chosen]
-
-
-def _lines(min_words: int, window: int):
+    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    ahead, behind = end <= off[1:][owner], start >= off[:-1][owner]
+    both = np.unique(np.stack([np.concatenate([line[ahead], start[behind]]), np.concatenate([end[ahead], line[behind] + 1])], axis=1), axis=0)
+    s, e = both[:, 0], both[:, 1]
+    # a run's hash is a polynomial in its lines, as a difference of sums from the slice's first line on
+    powers, backs = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (_BASE, _BACK))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers[:-1])])
+    unit = tk.mix((sums[e] - sums[s]) * backs[s] + (e - s).astype(np.uint64))
+    return (s - off[:-1][owner[s]]).astype(np.int32), unit.view(np.int64), np.searchsorted(s, off)
+
+
+def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
             h, count, off = lines_of(part.column("text"))
-            starts, hashes, arrays, counts = [], [], [], []
+            starts, hashes, at = units(h, count, off, min_words)
+            arrays, counts = [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                s, u = units(h[a:b], count[a:b], min_words, window)
-                starts.append(s), hashes.append(u)
                 arrays.append(h[a:b].astype("<u8").tobytes()), counts.append(count[a:b].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(arrays, pa.binary()), pa.array(counts, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "lines", "words", "starts", "units"])
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c)) for c in (starts, hashes)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(arrays, pa.binary()), pa.array(counts, pa.binary()), *lists], ["doc_id", "lines", "words", "starts", "units"])
 
     return run
 
@@ -115,11 +114,11 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(kept, pa.int64()), pa.array(gone, pa.int64()), pa.array(gone_words, pa.int64())], ["doc_id", "text", "n_lines", "n_removed", "words_removed"])
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, from, to, first): runs of lines with words, counted from 0, that occur before, in document ``first``."""
     tk.for_long_rows(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = staged(texts.mapInArrow(tk.lean(_lines(min_words, window)), "doc_id long, lines binary, words binary, starts array<int>, units array<long>").dropDuplicates(["doc_id"]), "lines")
+    lines = staged(texts.mapInArrow(tk.lean(_lines(min_words)), "doc_id long, lines binary, words binary, starts array<int>, units array<long>").dropDuplicates(["doc_id"]), "lines")
     spots = lines.select("doc_id", F.explode(F.arrays_zip("starts", "units")).alias("u")).select("doc_id", F.col("u.starts").alias("at"), F.col("u.units").alias("unit"))
     # written, so that the join deals both sides anew and a very common unit can be split
     firsts = staged(spots.groupBy("unit").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("unit", "f"), "firsts")
@@ -129,7 +128,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WIN
     return matched.select("doc_id", "first", "shift", "lines", "words", "other").mapInArrow(tk.lean(_extended(min_words)), "doc_id long, from int, to int, first long")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_removed, words_removed) of every row, later repeats of passages gone from text.
 
     n_lines counts the lines left that have words. Lines agree if their words do; words are split at ASCII white
@@ -137,7 +136,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW
     they are treated alike. A line that belongs to no repeated run of ``min_words`` words stays, whatever its
     count. An empty table gives no rows. Other columns of ``docs`` are not looked at.
     """
-    runs = repeated_runs(docs, min_words, window, id_col, text_col)
+    runs = repeated_runs(docs, min_words, id_col, text_col)
     runs = staged(runs.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("runs")), "runs")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # dealt by id at every size, so that the plan doesn't turn from broadcast to shuffle as runs get many

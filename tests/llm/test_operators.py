@@ -159,6 +159,44 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, EMPTY)).isEmpty()
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Repeats of 50 words made of a few short lines, each between other lines; and a tail that only a later copy shares."""
+    rng = random.Random(5)
+
+    def line(n):
+        return " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+
+    shapes = [(17, 33), (7, 35, 18), (31, 31), (49, 1), (20, 20, 10), (40, 30, 10), (50,)] * 6
+    rows = []
+    for i, shape in enumerate(shapes):
+        passage = [line(n) for n in shape]
+        for j in range(2):
+            # before and after it, lines of so few words that their units reach into the passage
+            rows.append((2 * i + j, "\n".join([line(9), line(12), *passage, line(9), line(12)]), passage))
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, [(i, t, "en", "a") for i, t, _ in rows])).collect()}
+    for i, t, passage in rows:
+        want = t if i % 2 == 0 else "\n".join(x for x in t.split("\n") if x not in passage)
+        assert got[i]["text"] == want, shapes[i // 2]
+    a, b, c = line(40), line(30), line(10)
+    tail = [(0, "\n".join([a, b, line(9)]), "en", "a"), (1, "\n".join([a, b, c]), "en", "a"), (2, "\n".join([line(9), a, b, c]), "en", "a")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, tail)).collect()}
+    assert got == {0: tail[0][1], 1: c, 2: tail[2][1].split("\n")[0]}
+    # against every run of every text, on lines drawn from few
+    pool = [line(rng.choice([1, 8, 17, 26, 33, 51])) for _ in range(14)]
+    texts = [[rng.choice(pool) if rng.random() < 0.8 else line(11) for _ in range(rng.randint(1, 12))] for _ in range(60)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(docs(spark, [(i, "\n".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        drop = set()
+        for s in range(len(t)):
+            for e in range(s + 1, len(t) + 1):
+                if sum(len(x.split()) for x in t[s:e]) >= 50:
+                    drop |= set(range(s, e)) if tuple(t[s:e]) in seen else set()
+                    seen.add(tuple(t[s:e]))
+        want[i] = len(drop)
+    assert got == want
+
+
 PAGE = "<html><head><title>No</title></head><body><nav><a href=x>Menu</a></nav><div>Buy now {0}</div><div>Site wide words</div>{1}<footer>&copy; x</footer>"
 
 
