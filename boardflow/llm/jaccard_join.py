@@ -186,7 +186,9 @@ def _shipped(n: int, num: int, den: int, buckets: int, seen: np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), none, none, pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_SHIPPED)
             first = np.zeros(len(doc), dtype=bool)
             first[s] = True
-            doc, sig = doc[~many | first], sig[~many | first]
+            # the hub goes twice: it stands for its holders, and with any other holder elsewhere they are a crowd
+            kept, twice = ~many | first, many & first
+            doc, sig = np.concatenate([doc[kept], doc[twice]]), np.concatenate([sig[kept], sig[twice]])
         bucket = (sig >> U(48)).astype(np.int64) % buckets
         order = np.lexsort((doc, bucket))
         doc, sig, bucket = doc[order], sig[order], bucket[order]
@@ -216,7 +218,7 @@ def _shipped(n: int, num: int, den: int, buckets: int, seen: np.ndarray):
 
 
 def _hubs(group: pa.Table) -> pa.Table:
-    """(x, hub, crowd) of the holders of each signature in a bucket; crowd: there are others beside the two."""
+    """(x, hub, crowd) of the holders of each signature in a bucket; crowd: there are others beside the two, here or with a local hub."""
     doc = np.concatenate([np.cumsum(np.frombuffer(b, dtype="<i8")) for b in group.column("ids").to_pylist()])
     six = np.concatenate([np.frombuffer(b, dtype=np.uint8).reshape(-1, 6) for b in group.column("sigs").to_pylist()])
     sig = np.zeros((len(six), 8), dtype=np.uint8)
@@ -359,8 +361,6 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     both = staged(shipped.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_local_or_global, "x long, h long, crowd boolean, local boolean"), "hubs")
     local, far = both.where("local").select("x", "h", "crowd").distinct(), both.where("not local").select("x", "h", "crowd").distinct()
     through = local.join(far.select(F.col("x").alias("h"), F.col("h").alias("top")).distinct(), "h").select("x", F.col("top").alias("h"), "crowd")
-    # a local hub stands for its holders: with them, its far signatures have a crowd
-    far = far.join(local.select(F.col("h").alias("x")).distinct().withColumn("more", F.lit(True)), "x", "left").select("x", "h", (F.col("crowd") | F.coalesce("more", F.lit(False))).alias("crowd"))
     holders = local.unionByName(far).unionByName(through)
     to = classes.select("doc_id", "rep").distinct()
     pairs = holders.join(to.toDF("x", "rx"), "x").join(to.toDF("h", "rh"), "h").where("rx <> rh")

@@ -106,6 +106,24 @@ def test_jaccard_join_of_a_large_family(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_jaccard_join_beside_a_local_hub(spark, monkeypatch):
+    """Links beside a hub that one flush ships for its holders, to the one holder in another flush."""
+    # any order of signatures must do: with none by rarity, what z and y have beside the copies doesn't sign first
+    monkeypatch.setattr(jaccard_join, "_seen", lambda info: np.zeros(1 << jaccard_join.SEEN_BITS, dtype=np.uint8))
+    rows, far = [], []
+    for g in range(60):
+        t = [f"g{g}w{i}" for i in range(32)]
+        z = [*t, *(f"g{g}z{i}" for i in range(3))]
+        # eight copies and z in one task, y in another; in a third of the groups y has the smallest id
+        rows += [(1000 + 20 * g + i, " ".join(t), "en", "a") for i in range(8)] + [(1000 + 20 * g + 9, " ".join(z), "en", "a")]
+        far.append((1000 + 20 * g + 10 if g % 3 else g, " ".join([*z, *(f"g{g}y{i}" for i in range(3))]), "en", "a"))
+    want = components([(r[0], r[1]) for r in rows + far], 3, 90, 100)
+    tasks = [[(r[0], r[1]) for r in part] for part in (rows, far)]
+    table = spark.createDataFrame(spark.sparkContext.parallelize([0, 1], 2).flatMap(lambda i: tasks[i]), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(table, 3, 90, 100).collect()}
+    assert [i for i in want if found[i] != want[i]] == []
+
+
 def test_mix(spark):
     rows = [(i, t, "en", random.Random(i).choice(["a", "a", "a", "b", "c", None])) for i, t in enumerate(corpus(3))] + ODD
     got = [r.asDict() for r in mixing.mix(docs(spark, rows)).collect()]
