@@ -197,8 +197,8 @@ n AS (SELECT id, distance, id AS nearest FROM m WHERE distance = 0 UNION SELECT
 near AS (SELECT id, distance, min(nearest) AS nearest FROM n GROUP BY id, distance)"""
 
 
-def _distances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    links = V.graph(spark, sf_dir)
+def _distances(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str], DataFrame] = V.graph) -> tuple[DataFrame, DataFrame]:
+    links = view(spark, sf_dir)
     return links, graph.distances(links, links.select("src").where("src % 50 = 0").distinct())
 
 
@@ -220,6 +220,23 @@ def d_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(V.graph(spark, sf_dir).where("abs(src) % 7 = abs(dst) % 7"))
 
 
+# the same over the whole of lineitem; no SQL, tested against brute force
+@_query("d1_distances_whole")
+def d1_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, V.supplies)[1]
+
+
+@_query("d2_paths_whole")
+def d2_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, found = _distances(spark, sf_dir, V.supplies)
+    return graph.path(found, links.select("dst").where("dst % 100 = 0").distinct())
+
+
+@_query("d_components_whole")
+def d_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(V.supplies(spark, sf_dir))
+
+
 @_query("n_sessions")
 def n_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.replay(V.log(spark, sf_dir))
@@ -290,7 +307,15 @@ def r3_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("r5_ramp", _DIST + ", x AS (SELECT id, distance, max(distance) OVER () AS far FROM near) SELECT id, CAST(floor((1 - (1.0::DOUBLE - distance / far)) * 200 + (1.0::DOUBLE - distance / far) * 40) AS INTEGER) AS red FROM x")
 def r5_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _distances(spark, sf_dir)[1]
+    return _ramp(_distances(spark, sf_dir)[1])
+
+
+@_query("r5_ramp_whole")
+def r5_ramp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ramp(_distances(spark, sf_dir, V.supplies)[1])
+
+
+def _ramp(found: DataFrame) -> DataFrame:
     longest = found.agg(F.max("distance").alias("far"))
     return found.join(F.broadcast(longest)).select("id", F.get(display.ramp(F.col("distance"), F.col("far"), (200, 0, 0), (40, 0, 0)), F.lit(0)).alias("red"))
 

@@ -56,6 +56,11 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select((-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst"))
 
 
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): suppliers, as negative numbers, and the parts of all their deliveries."""
+    return table(spark, sf_dir, "lineitem").select((-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(F.get(e, F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))

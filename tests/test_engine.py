@@ -13,6 +13,7 @@ from boardflow.functions import bits
 from boardflow.functions import boards as P
 from boardflow.operators import display, graph, layout, session, statespace
 from boardflow.operators.components import connected_components
+from boardflow.plans import queries
 from boardflow.sources import presets
 from boardflow.streaming.sessions import replay_stream
 
@@ -194,3 +195,31 @@ def test_display(spark):
     assert spark.range(1).select(display.vertex_class(*b)).first()[0] == "path"
     pts = spark.createDataFrame([(5, 0.0, 0.0, 9.0), (3, 0.1, 0.0, 4.0), (1, 5.0, 0.0, 0.0)], "id long, x double, y double, z double")
     assert display.picked(pts, (0.0, 0.0, -5.0), (0.0, 0.0, 1.0)).first()[0] == 3
+
+
+def test_whole_graph_queries(spark, tmp_path):
+    """Every pair of supplier and part counts, whatever the quantity."""
+    rng = random.Random(21)
+    # small parts, and a chain for distances beyond 12
+    pairs = [(rng.randrange(120), rng.randrange(1, 400)) for _ in range(60)] + [(s, p) for i in range(7) for s, p in ((1000 + i, 2000 + i), (1001 + i, 2000 + i))] + [(49, 2000)]
+    spark.createDataFrame([(s, p, float(rng.randint(1, 50))) for s, p in pairs] + [(None, 5, 1.0)], "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    near: dict[int, set[int]] = {}
+    for s, p in pairs:
+        near.setdefault(-s - 1, set()).add(p), near.setdefault(p, set()).add(-s - 1)
+
+    def levels(starts):
+        d, todo = dict.fromkeys(starts, 0), deque(starts)
+        while todo:
+            i = todo.popleft()
+            for j in near[i] - d.keys():
+                d[j] = d[i] + 1
+                todo.append(j)
+        return d
+
+    d = levels([i for i in near if i < 0 and i % 50 == 0])
+    run = {k: f(spark, str(tmp_path)).collect() for k, f in queries.queries().items() if k in ("d1_distances_whole", "d2_paths_whole", "d_components_whole", "r5_ramp_whole")}
+    assert {r["id"]: r["distance"] for r in run["d1_distances_whole"]} == d and max(d.values()) > 12
+    assert {r["node"]: r["component"] for r in run["d_components_whole"]} == {i: min(levels([i])) for i in near}
+    ends = {i for i in near if i >= 0 and i % 100 == 0 and i in d}
+    assert {(r["start"], r["step"]) for r in run["d2_paths_whole"]} == {(i, n) for i in ends for n in range(d[i] + 1)}
+    assert {r["id"] for r in run["r5_ramp_whole"]} == set(d)
