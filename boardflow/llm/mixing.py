@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boardflow.llm.running import IN_BUCKET, starts
 from boardflow.plans.staging import staged
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Patterns that the driver takes: about 100 MB. Sources are named by people; combinations that occur are few.
 MAX_PATTERNS = 200_000
-#: Rows in a bucket of seeded hashes.
-IN_BUCKET = 256
 
 
 def water_fill(weights: Sequence[float], caps: Sequence[float], total: float) -> list[float]:
@@ -144,12 +143,13 @@ def mix(
     sizes by weight, each at most ``max_repeat`` times its own size. taken is the number of words the mix reads of a
     row, repeats counted, at most ``max_repeat`` times its size. The last row that a pass reaches is cut, so that the
     quotas are met to the word; with ``whole`` it is taken whole if at least half of it is reached, else left out.
-    source_size and target are sums over the row's sources. Repeated rows count as rows; ties in the seeded order are
-    between rows alike. An empty table gives no rows. Reruns agree.
+    source_size and target are sums over the row's sources. Rows without an id take part. Repeated rows count as rows;
+    ties in the seeded order are between rows alike. A very long text is one row as others. Other columns are not
+    looked at. An empty table gives no rows. Reruns agree.
     """
     got = F.col(sources) if isinstance(sources, str) else sources
     kind = docs.select(got.alias("s")).schema["s"].dataType.typeName()
-    members = F.array_sort(F.array_distinct(got)) if kind == "array" else F.array(got)
+    members = F.coalesce(F.array_sort(F.array_distinct(got)), F.array(F.lit(None).cast("string"))) if kind == "array" else F.array(got)
     rows = staged(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -170,18 +170,15 @@ def mix(
     takes = route(patterns, {s: round(t) for s, t in target.items()}, max_repeat)
     most = max((r["n"] for r in found), default=0)
     bits = min(32, max(6, math.ceil(math.log2(max(1, most) / IN_BUCKET)) if most > IN_BUCKET else 0))
-    plan = [(list(k), float(sum(target[s] for s in k)), sum(size[s] for s in k), takes[k] // v if v else 0, takes[k] % v if v else 0) for k, v in patterns.items()]
+    plan = [(list(k), n, float(sum(target[s] for s in k)), sum(size[s] for s in k), takes[k] // v if v else 0, takes[k] % v if v else 0) for n, (k, v) in enumerate(patterns.items())]
     spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, target double, source_size long, full long, rest long"))
+    plan = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, p int, target double, source_size long, full long, rest long"))
+    rows = rows.alias("r").join(plan.alias("p"), F.col("r.pattern") == F.col("p.pattern")).select("r.*", "p.p", "p.target", "p.source_size", "p.full", "p.rest")
     # running sums in seeded order, first over buckets of hashes, then within each bucket
     rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("start", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-    within = Window.partitionBy("pattern", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("so_far", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    same = [F.col("r.pattern").eqNullSafe(F.col("s.pattern")), F.col("r.bucket") == F.col("s.bucket")]
-    rows = rows.alias("r").join(starts.alias("s"), same[0] & same[1]).select("r.*", "s.start")
-    rows = rows.alias("r").join(plan.alias("p"), F.col("r.pattern").eqNullSafe(F.col("p.pattern"))).select("r.*", "p.target", "p.source_size", "p.full", "p.rest")
+    sums = rows.groupBy("p", "bucket").agg(F.sum("size").alias("in_bucket"))
+    within = Window.partitionBy("p", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("so_far", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts(sums, ["p"], "in_bucket", 1 << bits), ["p", "bucket"])
     reach = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("so_far")))
     extra = F.when(2 * reach >= F.col("size"), F.col("size")).otherwise(0) if whole else reach
     return rows.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + extra).cast("long").alias("taken"), "pattern")
