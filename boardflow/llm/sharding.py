@@ -2,29 +2,32 @@
 
 Rows with equal texts stay together. Groups go, largest first, to the shard with the fewest bytes, which a heap
 yields. Groups of one size are alike, so the schedule needs only how many groups each size has: sizes that differ
-number at most sqrt(2 * all bytes), whatever the number of rows. The driver runs the schedule over that histogram;
-Spark numbers the groups of each size and looks up their shards. A size with many groups is scheduled in one step,
+number at most sqrt(2 * all bytes), whatever the number of rows. The driver runs the schedule over that histogram, a
+bounded run of sizes at a time; Spark numbers the groups of each size and looks up their shards. A size with many groups is scheduled in one step,
 with the result that taking them one by one would have.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
+from itertools import accumulate, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from boardflow.plans.staging import staged
+from boardflow.llm.running import buckets_for, looked_up, numbered
+from boardflow.plans.staging import Rounds, staged
 
-#: Rows in a bucket when rows are numbered.
-IN_BUCKET = 256
+#: Different sizes that the driver schedules at once.
+AT_ONCE = 100_000
 
 
-def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
-    """(size, groups that each shard gets) for (size, groups), by longest processing time."""
-    load = [0] * shards
+def schedule(histogram: list[tuple[int, int]], shards: int, load: list[int] | None = None) -> list[tuple[int, list[int]]]:
+    """(size, groups that each shard gets) for (size, groups), by longest processing time.
+
+    ``load`` is what the shards hold already; it is brought up to date.
+    """
+    load = [0] * shards if load is None else load
     out = []
     for size, count in sorted(histogram, reverse=True):
         gets = [0] * shards
@@ -37,7 +40,7 @@ def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, l
                 else:
                     hi = level - 1
             gets = [max(0, -(-(lo - x) // size)) for x in load]
-            load = [x + size * g for x, g in zip(load, gets, strict=True)]
+            load[:] = [x + size * g for x, g in zip(load, gets, strict=True)]
         heap = [(x, j) for j, x in enumerate(load)]
         heapq.heapify(heap)
         for _ in range(count - sum(gets)):
@@ -49,48 +52,35 @@ def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, l
     return out
 
 
-def _buckets(n: int) -> int:
-    return max(16, math.ceil(n / IN_BUCKET))
-
-
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
     Size is the text's UTF-8 bytes plus 1, none for null, which is together with the empty text; the checksum of no
     bytes is 0. Law is always ``bytes``: the shards' sizes are near equal, as far as groups that stay together allow.
     slot numbers a shard's rows from 0 without a gap. grown_shard is null, as with one more shard all would be
-    scheduled anew. Repeated rows are rows of their own, in one shard. An empty table gives no rows.
+    scheduled anew. Rows are numbered by their id's hash; rows without an id, too. Repeated rows are rows of their own, in
+    one shard. Very long texts are one row as others. Other columns are not looked at. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")), "rows")
-    groups = rows.groupBy("g").agg(F.sum("size").alias("whole"))
-    groups = staged(groups, "groups")
-    counted = groups.groupBy("whole").agg(F.count("*").alias("n")).collect()
-    n_groups = sum(r["n"] for r in counted)
-    plan = []
-    for size, gets in schedule([(r["whole"], r["n"]) for r in counted], shards):
-        upto, total = [], 0
-        for g in gets:
-            upto.append(total := total + g)
-        plan.append((size, upto))
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, "whole long, upto array<long>")
+    groups = staged(rows.groupBy("g").agg(F.sum("size").alias("whole"), F.count("*").alias("c")), "groups")
+    n = rows.count()
+    counted = groups.groupBy("whole").agg(F.count("*").alias("n")).orderBy(F.desc("whole")).toLocalIterator()
+    spark, load, plan = docs.sparkSession, [0] * shards, Rounds(docs.sparkSession, "plan")
+    while True:
+        some = [(r["whole"], r["n"]) for r in islice(counted, AT_ONCE)]
+        if not some and plan.n:
+            break
+        made = [(size, list(accumulate(gets))) for size, gets in schedule(some, shards, load)]
+        plan.add(spark.createDataFrame(made, "whole long, upto array<long>"))
+    plan = plan.all()
     # the groups of a size are numbered over buckets of their hashes
     inside = F.conv(F.substring("g", 1, 8), 16, 10).cast("long")
-    buckets = _buckets(n_groups)
+    buckets = buckets_for(n)
     groups = groups.withColumn("bucket", F.pmod(inside, F.lit(buckets)))
-    groups = _numbered(groups, ["whole"], ["g"]).join(plan, "whole")
-    groups = groups.select("g", F.size(F.filter("upto", lambda u: u <= F.col("nth"))).alias("shard"))
-    # as are the rows of a shard; equal texts may be many, so rows are dealt by id and then joined by text
-    rows = staged(rows.join(groups, "g").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), "placed")
-    out = _numbered(rows, ["shard"], ["doc_id", "text_crc32"])
+    groups = numbered(groups, ["whole"], ["g"], buckets).join(plan, "whole")
+    groups = groups.select("g", "c", F.size(F.filter("upto", lambda u: u <= F.col("nth"))).alias("shard"))
+    # as are the rows of a shard
+    rows = staged(looked_up(rows, staged(groups, "shards"), "g", "c", n).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))), "placed")
+    out = numbered(rows, ["shard"], ["doc_id", "text_crc32"], buckets)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("nth").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """``df`` with nth, numbering the rows of each ``by`` from 0: within buckets, after the rows of buckets before."""
-    counts = df.groupBy(*by, "bucket").agg(F.count("*").alias("c"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy(*by, "bucket").orderBy(*order)
-    return df.withColumn("in_bucket", F.row_number().over(within)).join(counts, [*by, "bucket"]).withColumn("nth", (F.col("start") + F.col("in_bucket") - 1).cast("long")).drop("start", "in_bucket", "bucket")
