@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardflow.llm import textkernel as tk
+from boardflow.llm.running import HOT, looked_up
 from boardflow.operators.components import connected_components
 from boardflow.plans.staging import staged
 
@@ -47,6 +48,8 @@ SEEN_BITS = 19
 #: Bits of the filter that spares most texts the shuffle; where candidates fill it, it spares none and costs little.
 FILTER_BITS = 23
 FLUSH = 1 << 18
+#: Signatures in a bucket, about: a worker sorts one bucket at a time.
+IN_BUCKET = 1 << 21
 #: Members of a hub, or of a shared difference, that one group of rows takes.
 BLOCK = 2048
 #: Blocks of a family beyond which its members meet only where they share a difference.
@@ -75,6 +78,18 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.diff(np.concatenate([s, [len(keys)]]))
 
 
+def given(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many signatures sets of these sizes give, with two parts of which one is kept."""
+    ends = bands(num, den, 1 << max(4, int(sizes.max(initial=1)).bit_length()))
+    own = np.searchsorted(ends, sizes)
+    far = differ(num, den, sizes + sizes * den // num)
+    out = np.zeros(len(sizes), dtype=np.int64)
+    for step in (0, 1):
+        some = (sizes > 0) & ((step == 0) | (den * sizes >= num * (ends[own] + 1)))
+        out += np.where(some, np.minimum(differ(num, den, 2 * ends[np.minimum(own + step, len(ends) - 1)]), far) + 1, 0)
+    return out
+
+
 def signatures(h: np.ndarray, off: np.ndarray, num: int, den: int, seen: np.ndarray, k2: int = 1, n2: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of sets given as sorted hashes and offsets; ``seen`` has the sample's counts, by hash."""
     sizes = np.diff(off)
@@ -115,8 +130,8 @@ def signatures(h: np.ndarray, off: np.ndarray, num: int, den: int, seen: np.ndar
         rank = np.arange(len(order)) - np.repeat(starts, count)
         # no partner is larger than n * den / num, nor farther than that allows
         far = np.minimum(k, differ(num, den, n + n * den // num))
-        given = order[rank <= (spoils * far)[owner[order]]]
-        owners.append(some[owner[given]]), found.append(sig[given])
+        first = order[rank <= (spoils * far)[owner[order]]]
+        owners.append(some[owner[first]]), found.append(sig[first])
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     return np.concatenate(owners), np.concatenate(found)
@@ -126,8 +141,8 @@ def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tk.distinct(*tk.shingles(tk.words(column, tk.SPACED), n))
 
 
-def _digests(n: int, share: int):
-    """Size and digest of each set; of a sample of texts, share of 2**32, also the set."""
+def _digests(n: int, num: int, den: int, share: int):
+    """Size, signatures and digest of each set; of a sample of texts, share of 2**32, also the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
@@ -139,7 +154,7 @@ def _digests(n: int, share: int):
             digest = pa.array([both[16 * i : 16 * i + 16] if s else None for i, s in enumerate(sizes.tolist())], pa.binary())
             drawn = (tk.mix(a) >> U(32)) < U(share)  # by content, so that copies weigh as one text or none
             some = pa.array([h[i:j].astype("<u8").tobytes() if d else None for i, j, d in zip(off[:-1].tolist(), off[1:].tolist(), drawn.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), digest, some], ["doc_id", "n_shingles", "digest", "drawn"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(given(sizes, num, den)), digest, some], ["doc_id", "n_shingles", "n_sigs", "digest", "drawn"])
 
     return run
 
@@ -189,7 +204,7 @@ def _shipped(n: int, num: int, den: int, buckets: int, seen: np.ndarray):
             # the hub goes twice: it stands for its holders, and with any other holder elsewhere they are a crowd
             kept, twice = ~many | first, many & first
             doc, sig = np.concatenate([doc[kept], doc[twice]]), np.concatenate([sig[kept], sig[twice]])
-        bucket = (sig >> U(48)).astype(np.int64) % buckets
+        bucket = (sig >> U(16)).astype(np.int64) % buckets
         order = np.lexsort((doc, bucket))
         doc, sig, bucket = doc[order], sig[order], bucket[order]
         s, n_run = _runs(bucket)
@@ -340,22 +355,33 @@ def _beside(num: int, den: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, links): (doc_id, n_shingles, rep) of every row, and (src, dst) between representatives.
+def _infos(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    share = min(1 << 32, (SAMPLE << 32) // max(1, texts.count()))
+    return staged(texts.mapInArrow(tk.lean(_digests(n, num, den, share)), "doc_id long, n_shingles long, n_sigs long, digest binary, drawn binary"), "sets")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    tk.for_long_rows(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): (doc_id, n_shingles, rep, copies) of every row, and (src, dst) between representatives.
 
-    Links join all that the threshold joins, though not by every pair: their components are those of all links.
+    Links join all that the threshold joins, though not by every pair: their components are those of all links. Ids
+    are not null, and rows of one id have the same text.
     """
-    spark = docs.sparkSession
-    tk.for_long_rows(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    share = min(1 << 32, (SAMPLE << 32) // max(1, docs.count()))
-    info = staged(texts.mapInArrow(tk.lean(_digests(n, share)), "doc_id long, n_shingles long, digest binary, drawn binary"), "sets")
+    texts = _texts(docs, id_col, text_col)
+    info = _infos(texts, n, num, den) if info is None else info
     seen = _seen(info)
-    # written, so that the join deals both sides anew and a digest of very many copies can be split
-    reps = staged(info.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    classes = staged(info.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    # written, so that the join deals both sides anew
+    reps = staged(info.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    total, sigs = info.agg(F.count("*"), F.sum("n_sigs")).first()
+    alone = info.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("copies"))
+    known = looked_up(info.where("digest is not null").select("doc_id", "n_shingles", "digest"), reps, "digest", "copies", total)
+    classes = staged(known.select("doc_id", "n_shingles", "rep", "copies").unionByName(alone), "classes")
     ids = texts.where("doc_id is not null and text is not null")
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, -(-(sigs or 0) // IN_BUCKET))
     shipped = ids.mapInArrow(tk.lean(_shipped(n, num, den, buckets, seen)), "bucket long, ids binary, sigs binary, x long, h long")
     bucket = F.coalesce("bucket", F.lit(-1) - F.pmod(F.xxhash64("x", "h"), F.lit(buckets)))
     both = staged(shipped.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_local_or_global, "x long, h long, crowd boolean, local boolean"), "hubs")
@@ -421,10 +447,30 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     component_id is the smallest id that links reach, the own one included. Null or empty texts and texts without
-    words have no shingles and stay alone. Rows without an id belong with a text that has the same set, or have a
-    null component. Repeated rows come back as often. Other columns of ``docs`` are not looked at. An empty table
-    gives no rows.
+    words have no shingles and stay alone. A row without an id has the component of its text, null if that holds no
+    id. Repeated rows come back as often; if an id has several texts, each is linked by itself. Very long texts are
+    compared whole. Other columns of ``docs`` are not looked at. An empty table gives no rows.
     """
-    classes, links = jaccard_links(docs, n, num, den, id_col, text_col)
-    found = connected_components(links).toDF("rep", "component_id")
-    return classes.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    texts = _texts(docs, id_col, text_col)
+    info = _infos(texts, n, num, den)
+    ids = info.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    if ids.where("doc_id is null or a <> b").isEmpty():
+        return _components(texts, info, n, num, den)
+    # ids don't name texts: rows are numbered, and components named by their ids afterwards
+    rows = staged(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col("row").alias("doc_id"), "text")
+    found = staged(_components(keyed, _infos(keyed, n, num, den), n, num, den).toDF("row", "n_shingles", "c").join(rows.select("row", "doc_id"), "row"), "found")
+    names = found.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    return looked_up(found, staged(names, "names"), "c", "members", found.count()).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(texts: DataFrame, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    classes, links = jaccard_links(texts, n, num, den, "doc_id", "text", info)
+    found = staged(connected_components(links).toDF("rep", "component_id"), "components")
+    total = info.count()
+    # a text with 1 / HOT of the rows as its copies is one of HOT at most
+    hot = F.col("copies") * HOT >= total
+    often = classes.where(hot).select("rep").distinct().hint("broadcast")
+    many = classes.where(hot).join(F.broadcast(found.join(often, "rep")), "rep", "left")
+    few = classes.where(~hot).join(found.hint("merge"), "rep", "left")
+    return many.unionByName(few).select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
