@@ -120,6 +120,7 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.b) AS component_id FRO
 
 def _op9() -> str:
     w = r"regexp_extract_all(" + _LOW.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    near, far = decontaminate.RAREST, decontaminate.SPAN
     return f"""
 WITH d AS (SELECT doc_id, {w} AS w FROM documents),
 b AS (SELECT item_id, {w} AS w FROM benchmark),
@@ -128,9 +129,18 @@ k AS (SELECT DISTINCT k FROM g),
 o AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k WHERE len(w) >= k)),
 m AS (SELECT o.doc_id, o.i, o.k, g.item_id FROM o JOIN g ON o.k = g.k AND o.s = g.s),
 h AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY doc_id)
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY doc_id),
+bt AS (SELECT DISTINCT item_id, unnest(w) AS term FROM b),
+post AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+df AS (SELECT term, count(*) AS c FROM post GROUP BY term),
+rare AS (SELECT item_id, bt.term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(c, 0), bt.term) AS r FROM bt LEFT JOIN df ON df.term = bt.term QUALIFY r <= {near}),
+many AS (SELECT item_id, count(*) AS terms FROM rare GROUP BY item_id),
+hits AS (SELECT post.doc_id, post.p, rare.item_id, rare.r FROM post JOIN rare ON post.term = rare.term),
+close AS (SELECT a.doc_id, a.item_id, a.p FROM hits a JOIN hits o ON o.doc_id = a.doc_id AND o.item_id = a.item_id AND abs(o.p - a.p) <= {far} JOIN many ON many.item_id = a.item_id
+  WHERE a.r = 1 GROUP BY a.doc_id, a.item_id, a.p, many.terms HAVING count(DISTINCT o.r) = many.terms),
+n AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM close GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
-  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated, CAST(coalesce(n.n, 0) AS BIGINT) AS n_near FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
