@@ -152,16 +152,17 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
 
     Ties go to the smaller id. Rows without an id, and vectors that are null or hold null or non-finite components,
     take no part. An empty vector scores 0 with all; of vectors of different lengths, the common components count.
-    Rows that repeat an id with the same vector are candidates once; a query never meets its own id. Fewer rows are
-    given where there are fewer candidates. Scores are exact while they fit in 62 bits.
+    A query never meets its own id. Rows that repeat an id with the same vector are candidates once, with another vector
+    each by itself; as a query, an id counts once, with the smallest of its vectors. Fewer rows are given where there are fewer candidates. Other columns are not looked
+    at. An empty table gives no rows. Scores are exact while they fit in 62 bits.
     """
-    rows = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("v"), queries.alias("q")).where("vec_id is not null and v is not null").dropDuplicates(["vec_id"]), "vectors")
-    n, m = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
+    rows = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("v"), queries.alias("q")).where("vec_id is not null and v is not null").dropDuplicates(["vec_id", "v"]), "vectors")
+    n, m = rows.agg(F.count("*"), F.count_distinct(F.when(F.col("q"), F.col("vec_id")))).first()
     blocks = max(1, math.ceil(n / ROWS))
     # where rows are many, a task takes more queries too, so that fewer copies of a block are sent
     groups = max(1, math.ceil(m / (QUERIES * max(1, min(64, blocks)))))
-    parts = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    asked = rows.where("q").select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("part"))
+    parts = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    asked = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("part"))
     best = parts.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a block at most
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -71,7 +71,7 @@ def _lines(min_words: int):
             for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                 arrays.append(h[a:b].astype("<u8").tobytes()), counts.append(count[a:b].astype("<i4").tobytes())
             lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c)) for c in (starts, hashes)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(arrays, pa.binary()), pa.array(counts, pa.binary()), *lists], ["doc_id", "lines", "words", "starts", "units"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("v"), pa.array(arrays, pa.binary()), pa.array(counts, pa.binary()), *lists], ["doc_id", "v", "lines", "words", "starts", "units"])
 
     return run
 
@@ -82,15 +82,15 @@ def _extended(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out = []
-            for doc, first, shift, lines, words, other in zip(*(part.column(c).to_pylist() for c in ("doc_id", "first", "shift", "lines", "words", "other")), strict=True):
+            for doc, v, first, shift, lines, words, other in zip(*(part.column(c).to_pylist() for c in ("doc_id", "v", "first", "shift", "lines", "words", "other")), strict=True):
                 a, b, n = np.frombuffer(lines, "<u8"), np.frombuffer(other, "<u8"), np.frombuffer(words, "<i4")
                 lo, hi = max(0, -shift), min(len(a), len(b) - shift)
                 same = np.concatenate([[False], a[lo:hi] == b[lo + shift : hi + shift], [False]])
                 edge = np.flatnonzero(same[1:] != same[:-1]) + lo
                 total = np.concatenate([[0], np.cumsum(n)])
-                out += [(doc, s, e, first) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if total[e] - total[s] >= min_words]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "from", "to", "first"])
+                out += [(doc, v, s, e, first) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if total[e] - total[s] >= min_words]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "v", "from", "to", "first"])
 
     return run
 
@@ -115,29 +115,38 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, from, to, first): runs of lines with words, counted from 0, that occur before, in document ``first``."""
+    """(doc_id, v, from, to, first): runs of lines with words, counted from 0, that occur before, in document ``first``.
+
+    v, a hash of the text, tells texts of one id apart.
+    """
     tk.for_long_rows(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = staged(texts.mapInArrow(tk.lean(_lines(min_words)), "doc_id long, lines binary, words binary, starts array<int>, units array<long>").dropDuplicates(["doc_id"]), "lines")
-    spots = lines.select("doc_id", F.explode(F.arrays_zip("starts", "units")).alias("u")).select("doc_id", F.col("u.starts").alias("at"), F.col("u.units").alias("unit"))
+    texts = _texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    lines = staged(texts.mapInArrow(tk.lean(_lines(min_words)), "doc_id long, v int, lines binary, words binary, starts array<int>, units array<long>").dropDuplicates(["doc_id", "v"]), "lines")
+    spots = lines.select("doc_id", "v", F.explode(F.arrays_zip("starts", "units")).alias("u")).select("doc_id", "v", F.col("u.starts").alias("at"), F.col("u.units").alias("unit"))
     # written, so that the join deals both sides anew and a very common unit can be split
-    firsts = staged(spots.groupBy("unit").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("unit", "f"), "firsts")
-    later = spots.join(firsts, "unit").where("struct(doc_id, at) <> f")
-    diagonals = later.select("doc_id", F.col("f.doc_id").alias("first"), (F.col("f.at") - F.col("at")).alias("shift")).distinct()
-    matched = diagonals.join(lines.select("doc_id", "lines", "words"), "doc_id").join(lines.select(F.col("doc_id").alias("first"), F.col("lines").alias("other")), "first")
-    return matched.select("doc_id", "first", "shift", "lines", "words", "other").mapInArrow(tk.lean(_extended(min_words)), "doc_id long, from int, to int, first long")
+    firsts = staged(spots.groupBy("unit").agg(F.min(F.struct("doc_id", "v", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("unit", "f"), "firsts")
+    later = spots.join(firsts, "unit").where("struct(doc_id, v, at) <> f")
+    diagonals = later.select("doc_id", "v", F.col("f.doc_id").alias("first"), F.col("f.v").alias("w"), (F.col("f.at") - F.col("at")).alias("shift")).distinct()
+    matched = diagonals.join(lines.select("doc_id", "v", "lines", "words"), ["doc_id", "v"]).join(lines.select(F.col("doc_id").alias("first"), F.col("v").alias("w"), F.col("lines").alias("other")), ["first", "w"])
+    return matched.select("doc_id", "v", "first", "shift", "lines", "words", "other").mapInArrow(tk.lean(_extended(min_words)), "doc_id long, v int, from int, to int, first long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.withColumn("v", F.hash("text"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_removed, words_removed) of every row, later repeats of passages gone from text.
 
     n_lines counts the lines left that have words. Lines agree if their words do; words are split at ASCII white
-    space. A null text stays null; rows without an id stay as they are. Repeated rows of one id are one document:
-    they are treated alike. A line that belongs to no repeated run of ``min_words`` words stays, whatever its
-    count. An empty table gives no rows. Other columns of ``docs`` are not looked at.
+    space. A null text stays null; rows without an id stay as they are. Repeated rows of one id and text are one
+    document: they are treated alike; another text of the same id is another document. A line that belongs to no
+    repeated run of ``min_words`` words stays, whatever its count. Very long texts are compared whole. An empty table
+    gives no rows. Other columns of ``docs`` are not looked at.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col)
-    runs = staged(runs.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("runs")), "runs")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    runs = staged(runs.groupBy("doc_id", "v").agg(F.collect_set(F.struct("from", "to")).alias("runs")), "runs")
     # dealt by id at every size, so that the plan doesn't turn from broadcast to shuffle as runs get many
-    return texts.join(runs.hint("merge"), "doc_id", "left").mapInArrow(tk.lean(_rebuilt), "doc_id long, text string, n_lines long, n_removed long, words_removed long")
+    both = _texts(docs, id_col, text_col).join(runs.hint("merge"), ["doc_id", "v"], "left").select("doc_id", "text", "runs")
+    return both.mapInArrow(tk.lean(_rebuilt), "doc_id long, text string, n_lines long, n_removed long, words_removed long")

@@ -183,14 +183,14 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The model of labelled rows for which ``keep`` holds. Null labels count as none; an id labelled both ways is left out."""
+    """The model of labelled rows for which ``keep`` holds. Null labels count as none; an id labelled both ways is left out; of an id with several texts, the first in order teaches."""
     tk.for_long_rows(docs.sparkSession)
     ids = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     ids = ids.where(keep).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
     # the bound: at most max_train ids, so that broadcasting them is bounded too
     some = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(some, "doc_id")
-    encoded = texts.select("doc_id", "y", "text").dropDuplicates(["doc_id"]).mapInArrow(tk.lean(_encoded), "y int, x binary")
+    encoded = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).mapInArrow(tk.lean(_encoded), "y int, x binary")
     model = _fitted(encoded.toArrow())
     tk.trim()
     return model
@@ -205,9 +205,10 @@ def _fitted(got: pa.Table) -> Model:
     return fit(np.concatenate([x[i] for i in order]) if order else np.zeros(0, np.int32), off, y[order])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and quality_score, from 0 to 1. Null texts count as empty and are scored as such."""
-    at, name = docs.schema.fieldNames().index(text_col), "quality_score"
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score, from 0 to 1; a column of its name goes. Null texts are scored as empty ones."""
+    docs = docs.drop(name)
+    at = docs.schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, text_col):
@@ -223,7 +224,8 @@ def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, t
 
     Learns from labelled rows whose crc32 of the id modulo ``fold`` isn't ``held``. predicted is 1 if score reaches
     ``threshold``. Without labels, or with labels of one class only, every score is the smoothed share of ones.
-    Repeated rows come back as often; a null id counts as an empty one for the fold. An empty table gives no rows.
+    Repeated rows come back as often, and teach once; a null id counts as an empty one for the fold, and teaches nothing.
+    Very long texts are read whole. Other columns are not looked at. An empty table gives no rows.
     """
     model = train(docs, labels, remainder("doc_id", fold) != held, max_train)
     rows = docs.select("doc_id", (remainder("doc_id", fold) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
