@@ -276,7 +276,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     tk.for_long_rows(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"://([^/?#]*)", 1), F.lit("")))
     html = F.col(html_col).cast("string")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.md5(F.coalesce(html, F.lit(""))).alias("content"), html.alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.unhex(F.md5(F.coalesce(html, F.lit("")))).alias("content"), html.alias("html"))
     schema = rows.drop("html").selectExpr("*", "array(named_struct('text', '', 'around', array(0L))) AS blocks").schema
     parsed = staged(rows.mapInArrow(tk.lean(_parsed(by_name)), schema), "parsed")
     # different pages first, so that the count of a hot host's element is a sum of partial counts

@@ -50,7 +50,8 @@ FILTER_BITS = 23
 FLUSH = 1 << 18
 #: Signatures in a bucket, about: a worker sorts one bucket at a time.
 IN_BUCKET = 1 << 21
-#: Members of a hub, or of a shared difference, that one group of rows takes.
+#: Members of a hub that are compared with one copy of it; members of a family, or of a shared difference, in a block.
+AROUND = 256
 BLOCK = 2048
 #: Blocks of a family beyond which its members meet only where they share a difference.
 BLOCKS = 8
@@ -391,10 +392,10 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     to = classes.select("doc_id", "rep").distinct()
     pairs = holders.join(to.toDF("x", "rx"), "x").join(to.toDF("h", "rh"), "h").where("rx <> rh")
     pairs = staged(pairs.groupBy(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).agg(F.max("crowd").alias("crowd")), "pairs")
-    # families: the members of a hub, in groups of at most about BLOCK, with the hub's row in each
+    # families: the members of a hub, in groups of at most about AROUND, with the hub's row in each
     # written, so that the join deals both sides anew and a hub of very many holders can be split
     sizes = staged(pairs.groupBy("h").agg(F.count("*").alias("all"), F.count(F.when(F.col("crowd"), 1)).alias("m")), "sizes")
-    salts = F.ceil(F.col("all") / BLOCK).cast("int")
+    salts = F.ceil(F.col("all") / AROUND).cast("int")
     members = pairs.join(sizes, "h").select("h", "x", F.when(F.col("crowd"), F.col("m")).otherwise(0).alias("m"), F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
     heads = sizes.select("h", F.col("h").alias("x"), "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rows = members.unionByName(heads)
