@@ -73,12 +73,18 @@ def collides(a: Column, b: Column) -> Column:
     return (x_of(a) < x_of(b) + width_of(b)) & (x_of(b) < x_of(a) + width_of(a)) & (y_of(a) < y_of(b) + height_of(b)) & (y_of(b) < y_of(a) + height_of(a))
 
 
+#: Bitmaps of the left column of a board's top left corner, by board width and height; made by rule, a constant in plans.
+_COLUMNS = ", ".join(f"{sum(1 << (r * w) for r in range(h)) & ((1 << 63) - 1)}L" for w in range(1, 9) for h in range(1, 9))
+
+
 def mask(b: Column, board_width: Column | int) -> Column:
-    """The block's cells as a bitmap; cell (x, y) is bit y * board_width + x."""
-    w = board_width if isinstance(board_width, Column) else F.lit(board_width)
+    """The block's cells as a bitmap; cell (x, y) is bit y * board_width + x. The block is no wider than the board."""
+    w = (board_width if isinstance(board_width, Column) else F.lit(board_width)).cast("int")
     row = F.call_function("shiftleft", F.lit(1).cast("long"), width_of(b)) - 1
-    cells = F.transform(F.sequence(F.lit(0), height_of(b) - 1), lambda r: F.call_function("shiftleft", row, ((y_of(b) + r) * w + x_of(b)).cast("int")))
-    return F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(c))
+    column = F.get(F.expr(f"array({_COLUMNS})"), (w - 1) * 8 + _field(b, 5, 7))
+    # a column of bits times a row is all its cells; with 64 of them, the product has no sign bit to spare
+    shape = F.when(b.bitwiseAND(F.lit(0xFC)) == 0xFC, F.lit(-1).cast("long")).otherwise(column * row)
+    return F.call_function("shiftleft", shape, y_of(b) * w + x_of(b))
 
 
 def retarget(b: Column, on: Column) -> Column:

@@ -5,6 +5,8 @@ Functions take the names of these columns for granted and give Columns; edits th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def inside(b: Column, width: Column | None = None, height: Column | None = None)
     return (B.x_of(b) + B.width_of(b) <= (c("w") if width is None else width)) & (B.y_of(b) + B.height_of(b) <= (c("h") if height is None else height))
 
 
+def covers(x: Column | int, y: Column | int, w: Column | int = 1, h: Column | int = 1) -> Column:
+    """Whether a rectangle lies on the board."""
+    x, y = F.lit(0) + x, F.lit(0) + y
+    return (x >= 0) & (y >= 0) & (x + w <= c("w")) & (y + h <= c("h"))
+
+
 def goal_reached() -> Column:
     t = target_block()
     return c("goal") & F.coalesce((B.x_of(t) == c("gx")) & (B.y_of(t) == c("gy")), F.lit(False))
@@ -55,9 +63,29 @@ def invalid_reason() -> Column:
 
 def state_key() -> Column:
     """Text whose order is the order of states of one board: slots from the last to the first in hex, empty ones 8000."""
-    meta = c("restricted").cast("int") + c("gx") * 2 + c("gy") * 16 + (c("w") - 1) * 128 + (c("h") - 1) * 1024 + c("goal").cast("int") * 8192
-    slots = F.transform(F.sequence(F.lit(MAX_BLOCKS - 1), F.lit(0), F.lit(-1)), lambda i: F.lpad(F.lower(F.hex(F.coalesce(F.get("blocks", i), F.lit(B.INVALID)))), 4, "0"))
-    return F.concat(F.array_join(slots, ""), F.lpad(F.lower(F.hex(meta)), 4, "0"))
+    slots = [F.coalesce(F.get("blocks", F.lit(i)), F.lit(B.INVALID)).cast("long") for i in range(MAX_BLOCKS - 1, -1, -1)] + [meta().cast("long")]
+    words = [reduce(Column.bitwiseOR, [F.call_function("shiftleft", v, F.lit(48 - 16 * j)) for j, v in enumerate(slots[i : i + 4])]) for i in range(0, 16, 4)]
+    return F.concat(*(F.lpad(F.lower(F.hex(w)), 16, "0") for w in words))
+
+
+def meta() -> Column:
+    """All but the blocks in 16 bits: restricted, goal x and y, width - 1, height - 1 in three bits each, goal."""
+    return (c("restricted").cast("int") + c("gx") * 2 + c("gy") * 16 + (c("w") - 1) * 128 + (c("h") - 1) * 1024 + c("goal").cast("int") * 8192).cast("int")
+
+
+def unpack_meta(m: Column) -> Column:
+    """A struct of the board's columns but the blocks."""
+    def part(first: int, bits: int = 3) -> Column:
+        return F.call_function("shiftright", m.cast("int"), F.lit(first)).bitwiseAND(F.lit((1 << bits) - 1))
+
+    return F.struct((part(7) + 1).alias("w"), (part(10) + 1).alias("h"), part(1).alias("gx"), part(4).alias("gy"), (part(0, 1) == 1).alias("restricted"), (part(13, 1) == 1).alias("goal"))
+
+
+def created(w: Column | int, h: Column | int, gx: Column | int, gy: Column | int, restricted: Column, goal: Column, blocks: Column) -> Column:
+    """A struct of board columns with its blocks in order, or null where a size or the goal is out of range."""
+    w, h, gx, gy = (F.lit(0) + v for v in (w, h, gx, gy))
+    ok = w.between(1, MOST) & h.between(1, MOST) & gx.between(0, MOST - 1) & gy.between(0, MOST - 1) & (F.size(blocks) <= MAX_BLOCKS)
+    return F.when(ok, F.struct(w.cast("int").alias("w"), h.cast("int").alias("h"), gx.cast("int").alias("gx"), gy.cast("int").alias("gy"), restricted.alias("restricted"), goal.alias("goal"), F.sort_array(blocks).alias("blocks")))
 
 
 # bitmaps
@@ -73,6 +101,61 @@ def occupied_by(dirs: int) -> Column:
     return occupied(F.filter("blocks", lambda b: B.principal_dirs(b).bitwiseAND(F.lit(dirs)) > 0))
 
 
+def _bit(x: Column | int, y: Column | int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), ((F.lit(0) + y) * c("w") + x).cast("int"))
+
+
+def set_bit(bitmap: Column, x: Column | int, y: Column | int) -> Column:
+    return bitmap.bitwiseOR(_bit(x, y))
+
+
+def clear_bit(bitmap: Column, x: Column | int, y: Column | int) -> Column:
+    return bitmap.bitwiseAND(F.bitwise_not(_bit(x, y)))
+
+
+def get_bit(bitmap: Column, x: Column | int, y: Column | int) -> Column:
+    return bitmap.bitwiseAND(_bit(x, y)) != 0
+
+
+def set_block(bitmap: Column, b: Column) -> Column:
+    return bitmap.bitwiseOR(B.mask(b, c("w")))
+
+
+def clear_block(bitmap: Column, b: Column) -> Column:
+    return bitmap.bitwiseAND(F.bitwise_not(B.mask(b, c("w"))))
+
+
+def hits(bitmap: Column, b: Column) -> Column:
+    """Whether the block's cells meet any of the bitmap."""
+    return bitmap.bitwiseAND(B.mask(b, c("w"))) != 0
+
+
+def entered(b: Column, direction: int, cells: Column | None = None) -> Column:
+    """Cells that a block newly takes with one step, null if it would leave the board; ``cells``: those it has."""
+    m = B.mask(b, c("w")) if cells is None else cells
+    x, y, w = B.x_of(b), B.y_of(b), c("w").cast("int")
+    ok, moved = {
+        B.NORTH: (y > 0, F.call_function("shiftrightunsigned", m, w)),
+        B.EAST: (x + B.width_of(b) < c("w"), F.call_function("shiftleft", m, F.lit(1))),
+        B.SOUTH: (y + B.height_of(b) < c("h"), F.call_function("shiftleft", m, w)),
+        B.WEST: (x > 0, F.call_function("shiftrightunsigned", m, F.lit(1))),
+    }[direction]
+    return F.when(ok, moved.bitwiseAND(F.bitwise_not(m)))
+
+
+def hits_moving(bitmap: Column, b: Column, direction: int) -> Column:
+    """Whether a step's new cells meet any of the bitmap; null if the step leaves the board."""
+    return bitmap.bitwiseAND(entered(b, direction)) != 0
+
+
+def drawn(bitmap: Column) -> Column:
+    """The bitmap as lines of 0 and 1, the top row first."""
+    def row(y: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), c("w") - 1), lambda x: get_bit(bitmap, x, y).cast("int").cast("string")), "")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), c("h") - 1), row), "\n")
+
+
 def full_mask() -> Column:
     return F.when(c("w") * c("h") >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (c("w") * c("h")).cast("int")) - 1)
 
@@ -92,6 +175,12 @@ def first_empty(bitmap: Column) -> Column:
     return F.when(free == -(2**63), 63).when(free != 0, (F.bit_count(below) - 1).cast("int"))
 
 
+def first_empty_at(bitmap: Column) -> Column:
+    """(x, y) of the lowest free cell, or null."""
+    at = first_empty(bitmap)
+    return F.when(at.isNotNull(), F.struct(F.pmod(at, c("w")).cast("int").alias("x"), F.floor(at / c("w")).cast("int").alias("y")))
+
+
 # text
 
 
@@ -121,7 +210,7 @@ def from_text(text: Column) -> Column:
 
         return F.transform(F.split(F.trim(row), " +"), one)
 
-    found = F.array_sort(F.array_compact(F.flatten(F.transform(rows, cells))))
+    found = F.sort_array(F.array_compact(F.flatten(F.transform(rows, cells))))
     words = F.flatten(F.transform(rows, lambda r: F.split(F.trim(r), " +")))
     good = F.forall(words, lambda v: v.rlike(r"^(_|\d[xX*]\d)$")) & (F.size(F.filter(words, lambda v: v != "_")) == F.size(found)) & (F.size(found) <= MAX_BLOCKS)
     ok = (F.size(size) == 1) & (F.size(mode) == 1) & (F.size(body) == 1) & (F.size(goals) <= 1) & good
@@ -149,7 +238,7 @@ def from_text(text: Column) -> Column:
 def add_block(b: Column) -> Column:
     """blocks with ``b``, or null if there are 15, or it leaves the board, or meets another block."""
     free = ~F.exists("blocks", lambda o: B.collides(o, b))
-    return F.when((F.size("blocks") < MAX_BLOCKS) & inside(b) & free, F.array_sort(F.array_append("blocks", b)))
+    return F.when((F.size("blocks") < MAX_BLOCKS) & inside(b) & free, F.sort_array(F.array_append("blocks", b)))
 
 
 def remove_block(x: Column | int, y: Column | int) -> Column:
@@ -157,16 +246,25 @@ def remove_block(x: Column | int, y: Column | int) -> Column:
     return F.when(b.isNotNull(), F.filter("blocks", lambda o: o != b))
 
 
+def toggle_restricted() -> Column:
+    return ~c("restricted")
+
+
 def toggle_target(x: Column | int, y: Column | int) -> Column:
-    """blocks with the one at the cell as the only target, or none if it was; null without one, or for a wall."""
+    """(gx, gy, goal, blocks) with the one at the cell as the only target, or none if it was; null without one, or for a wall.
+
+    The goal goes back to (0, 0), though not off, where the block at the cell wouldn't fit there.
+    """
     b = block_at(x, y)
     changed = F.transform("blocks", lambda o: F.when(o == b, B.retarget(o, ~B.is_target(o))).otherwise(B.retarget(o, F.lit(False))))
-    return F.when(b.isNotNull() & ~B.is_immovable(b), F.array_sort(changed))
+    stays = covers(c("gx"), c("gy"), B.width_of(b), B.height_of(b))
+    gx, gy = (F.when(stays, c(g)).otherwise(0).cast("int").alias(g) for g in ("gx", "gy"))
+    return F.when(b.isNotNull() & ~B.is_immovable(b), F.struct(gx, gy, c("goal").alias("goal"), F.sort_array(changed).alias("blocks")))
 
 
 def toggle_wall(x: Column | int, y: Column | int) -> Column:
     b = block_at(x, y)
-    return F.when(b.isNotNull() & ~B.is_target(b), F.array_sort(F.transform("blocks", lambda o: F.when(o == b, B.rewall(o, ~B.is_immovable(o))).otherwise(o))))
+    return F.when(b.isNotNull() & ~B.is_target(b), F.sort_array(F.transform("blocks", lambda o: F.when(o == b, B.rewall(o, ~B.is_immovable(o))).otherwise(o))))
 
 
 def set_goal(x: Column | int, y: Column | int) -> Column:
@@ -180,6 +278,11 @@ def set_goal(x: Column | int, y: Column | int) -> Column:
     return F.when(fits, F.struct(val(x).alias("gx"), val(y).alias("gy"), (~same).alias("goal")))
 
 
+def clear_goal() -> Column:
+    """(gx, gy, goal) of a board without one."""
+    return F.struct(F.lit(0).alias("gx"), F.lit(0).alias("gy"), F.lit(False).alias("goal"))
+
+
 def resized(dw: int, dh: int) -> Column:
     """(w, h, gx, gy, goal, blocks) with a column or row more or less, or null beyond 3 to 8. Blocks that no longer fit go."""
     nw, nh = c("w") + dw, c("h") + dh
@@ -198,26 +301,49 @@ def resized(dw: int, dh: int) -> Column:
 # moves
 
 
+def steps_of(b: Column, occ: Column, cells: Column | None = None) -> list[tuple[int, int, Column]]:
+    """(direction, change of the block, whether it may go there) for a block on a board with these cells taken.
+
+    Only the cells that a step newly takes need to be free.
+    """
+    ways = F.when(c("restricted"), B.principal_dirs(b)).otherwise(F.when(B.is_immovable(b), 0).otherwise(15))
+    return [(d, change, (ways.bitwiseAND(F.lit(d)) > 0) & F.coalesce(entered(b, d, cells).bitwiseAND(occ) == 0, F.lit(False))) for d, _, _, change in B.STEPS]
+
+
+def _with_occupied(make) -> Column:
+    """``make`` of the cells taken, worked out once."""
+    return F.get(F.transform(F.array(occupied()), make), F.lit(0))
+
+
 def moves() -> Column:
     """All legal single steps: structs of idx, dir, next (blocks), in order of idx and then north, east, south, west."""
 
-    def of(b: Column, i: Column) -> Column:
-        rest = occupied(F.filter("blocks", lambda o: o != b))
-        free = F.when(c("restricted"), B.principal_dirs(b)).otherwise(F.when(B.is_immovable(b), 0).otherwise(15))
-        steps = []
-        for d, dx, dy, change in B.STEPS:
-            x, y = B.x_of(b) + dx, B.y_of(b) + dy
-            legal = (free.bitwiseAND(F.lit(d)) > 0) & (x >= 0) & (y >= 0) & (x + B.width_of(b) <= c("w")) & (y + B.height_of(b) <= c("h"))
-            moved = (b + change).cast("int")
-            clear = B.mask(moved, c("w")).bitwiseAND(rest) == 0
-            steps.append(F.when(legal & F.when(legal, clear).otherwise(False), F.struct(i.alias("idx"), F.lit(d).alias("dir"), F.array_sort(F.array_append(F.filter("blocks", lambda o: o != b), moved)).alias("next"))))
-        return F.array_compact(F.array(*steps))
+    def all_of(occ: Column) -> Column:
+        def of(b: Column, i: Column) -> Column:
+            return F.array_compact(F.array(*(F.when(ok, F.struct(i.alias("idx"), F.lit(d).alias("dir"), F.sort_array(F.array_append(F.array_remove("blocks", b), (b + change).cast("int"))).alias("next"))) for d, change, ok in steps_of(b, occ))))
+
+        return F.flatten(F.transform("blocks", of))
+
+    return _with_occupied(all_of)
 
-    return F.flatten(F.transform("blocks", of))
+
+def move_count() -> Column:
+    """How many legal single steps there are."""
+    def count(occ: Column) -> Column:
+        return F.aggregate("blocks", F.lit(0), lambda n, b: n + sum((ok.cast("int") for _, _, ok in steps_of(b, occ)), F.lit(0)))
+
+    return _with_occupied(count)
 
 
 def move_at(x: Column | int, y: Column | int, direction: int) -> Column:
     """blocks after the block at a cell has gone one step, or null."""
-    b = block_at(x, y)
-    found = F.filter(moves(), lambda m: (m["dir"] == direction) & (F.get("blocks", m["idx"]) == b))
-    return F.get(found, F.lit(0))["next"]
+    def of(b: Column) -> Column:
+        change, ok = next((change, ok) for d, change, ok in steps_of(b, occupied()) if d == direction)
+        return F.when(b.isNotNull() & ok, replaced(b, (b + change).cast("int")))
+
+    return F.get(F.transform(F.array(block_at(x, y)), of), F.lit(0))
+
+
+def replaced(old: Column, new: Column) -> Column:
+    """blocks with one taken out and another put in at its place in order."""
+    return F.sort_array(F.array_append(F.array_remove("blocks", old), new))

@@ -50,3 +50,32 @@ def path(found: DataFrame, start: DataFrame, max_hops: int = 1000) -> DataFrame:
 def most_distant(found: DataFrame) -> DataFrame:
     """The smallest id at the largest distance; one row."""
     return found.agg(F.max_by(F.struct("id", "distance"), F.struct("distance", F.struct((-F.col("id")).alias("o")))).alias("m")).select("m.id", "m.distance")
+
+
+def members(paths: DataFrame) -> DataFrame:
+    """(id): every node that lies on some path."""
+    return paths.select("id").distinct()
+
+
+class Distances:
+    """Distances that are worked out anew only when links or targets have changed, and kept where there are none of either."""
+
+    def __init__(self) -> None:
+        self.key: tuple | None = None
+        self.found: DataFrame | None = None
+
+    @property
+    def empty(self) -> bool:
+        return self.found is None
+
+    def clear(self) -> None:
+        self.key = self.found = None
+
+    def of(self, links: DataFrame, targets: DataFrame) -> DataFrame | None:
+        """Those of links (src, dst) to targets (id); what was found before where either is empty."""
+        key = tuple(
+            df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first() for df in (links.select("src", "dst"), targets)
+        )
+        if key != self.key and key[0][0] and key[1][0]:
+            self.key, self.found = key, staged(distances(links, targets), "distances")
+        return self.found

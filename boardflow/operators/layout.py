@@ -154,3 +154,69 @@ def layout(points: DataFrame, links: DataFrame, steps: int, cfg: Config = Config
         forces = _summed(spring_forces(points, links, cfg).unionByName(repulsion(points, cfg)))
         points = staged(verlet(points, forces, cfg), f"step{i}")
     return points
+
+
+# geometry of cells, integration by Euler, and the commands that change a layout
+
+
+def octant(center: tuple[Column, Column, Column]) -> Column:
+    """Which eighth around a centre (x, y, z) lies in: bit 0 for x, 1 for y, 2 for z, set from the centre on."""
+    return sum(((F.col(c) >= m).cast("int") * (1 << i) for i, (c, m) in enumerate(zip("xyz", center, strict=True))), F.lit(0))
+
+
+def child_bounds(lo: tuple[Column, ...], hi: tuple[Column, ...], which: Column) -> Column:
+    """A struct of lox, hix, ... of an eighth of a box."""
+    out = []
+    for i, c in enumerate("xyz"):
+        middle, upper = (lo[i] + hi[i]) / 2, which.bitwiseAND(F.lit(1 << i)) > 0
+        out += [F.when(upper, middle).otherwise(lo[i]).alias(f"lo{c}"), F.when(upper, hi[i]).otherwise(middle).alias(f"hi{c}")]
+    return F.struct(*out)
+
+
+def ancestor(code: Column, depth: Column | int, deepest: int = 21) -> Column:
+    """The cell of a code at a depth."""
+    return F.call_function("shiftrightunsigned", code, (3 * (F.lit(deepest) - depth)).cast("int"))
+
+
+def octant_at(code: Column, depth: Column | int, deepest: int = 21) -> Column:
+    """Which child of its cell at ``depth`` - 1 a code's cell is."""
+    return ancestor(code, depth, deepest).bitwiseAND(F.lit(7).cast("long")).cast("int")
+
+
+def branching(all_cells: DataFrame) -> DataFrame:
+    """The cells of :func:`cells` that are the root, a leaf, or have two children or more: a tree without chains."""
+    up = all_cells.select((F.col("depth") - 1).alias("depth"), F.call_function("shiftright", "code", F.lit(3)).alias("code"))
+    children = up.where("depth >= 0").groupBy("depth", "code").agg(F.count("*").alias("children"))
+    found = all_cells.join(children, ["depth", "code"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    return found.where("depth = 0 or children <> 1")
+
+
+def euler(points: DataFrame, forces: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(id, x, y, z, vx, vy, vz) a step later: velocity by force, then place by velocity."""
+    both = points.join(forces, "id", "left")
+    v = {c: F.col(f"v{c}") + F.coalesce(F.col(f"f{c}"), F.lit(0.0)) / cfg.mass * cfg.dt for c in "xyz"}
+    return both.select("id", *((F.col(c) + v[c] * cfg.dt).alias(c) for c in "xyz"), *(v[c].alias(f"v{c}") for c in "xyz"))
+
+
+def commanded(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(masses, springs) that a log of commands (seq, command, a, b) leaves: ``clear``, ``mass`` a, ``spring`` a b.
+
+    Only what comes after the last ``clear`` counts, so nothing needs to be replayed in order.
+    """
+    since = F.broadcast(log.where("command = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(-1).cast("long")).alias("since")))
+    left = log.join(since, log["seq"] > since["since"]).drop("since")
+    return left.where("command = 'mass'").select(F.col("a").alias("id")).distinct(), left.where("command = 'spring'").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def linked(links: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Starting places of the ends of links: each node a tenth of the rest length from the smallest node linked with it.
+
+    Nodes without a smaller neighbour start by the hash of their id; the others around where that one would.
+    """
+    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    parent = both.groupBy("src").agg(F.min("dst").alias("dst")).select(F.col("src").alias("id"), F.least("src", "dst").alias("of"))
+    own, root = ({c: (F.pmod(F.xxhash64(k, F.lit(c)), F.lit(2001)) - 1000) / 1000.0 for c in "xyz"} for k in ("id", "of"))
+    size = F.sqrt(sum((own[c] * own[c] for c in "xyz"), F.lit(0.0)))
+    apart = F.when((F.col("id") == F.col("of")) | (size == 0), 0.0).otherwise(cfg.rest * 0.1 / size)
+    at = [(root[c] * cfg.rest + own[c] * apart).alias(c) for c in "xyz"]
+    return parent.select("id", *at).select("id", "x", "y", "z", *(F.col(c).alias(f"p{c}") for c in "xyz"))

@@ -35,14 +35,14 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = (F.col("x") + F.col("bw") <= SIZE) & (F.col("y") + F.col("bh") <= SIZE)
     tried = rows.where(fits).select("board_id", "slot", "repr", B.mask(F.col("repr"), SIZE).alias("cells"))
     # at most as many as an order has lines
-    lists = tried.groupBy("board_id").agg(F.array_sort(F.collect_list(F.struct("slot", "repr", "cells"))).alias("tries"))
+    lists = tried.groupBy("board_id").agg(F.sort_array(F.collect_list(F.struct("slot", "repr", "cells"))).alias("tries"))
     start = F.struct(F.lit(0).cast("long").alias("occ"), F.array().cast("array<int>").alias("blocks"))
 
     def put(a, t):
         free = (a["occ"].bitwiseAND(t["cells"]) == 0) & (F.size(a["blocks"]) < 15)
         return F.when(free, F.struct(a["occ"].bitwiseOR(t["cells"]).alias("occ"), F.array_append(a["blocks"], t["repr"]).alias("blocks"))).otherwise(a)
 
-    put_down = lists.select("board_id", F.array_sort(F.aggregate("tries", start, put)["blocks"]).alias("blocks"))
+    put_down = lists.select("board_id", F.sort_array(F.aggregate("tries", start, put)["blocks"]).alias("blocks"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("board_id"), "o_custkey")
     out = orders.join(put_down, "board_id")
     return out.select(
@@ -52,11 +52,6 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): suppliers, as negative numbers, and the parts of their larger deliveries."""
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select((-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst"))
-
-
-def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): suppliers, as negative numbers, and the parts of all their deliveries."""
     return table(spark, sf_dir, "lineitem").select((-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst"))
 
@@ -70,7 +65,28 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*(F.lit(v) for kv in ACTIONS.items() for v in kv))
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     order = "row_number() over (partition by user_id order by ts, event_id)"
-    return rows.select(F.col("user_id").alias("session_id"), F.expr(order).cast("long").alias("seq"), names[F.col("event_type")].alias("action"))
+    return rows.select(F.col("user_id").alias("session_id"), F.expr(order).cast("long").alias("seq"), names[F.col("event_type")].alias("action"), F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"))
+
+
+#: What the event types, with the fraction of their value, do on a board.
+PLAYED = (("view", "E"), ("signup", "hint"), ("error", "undo"), ("click", "W"), ("purchase", "S"))
+
+
+def played(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, seq, action, x, y): events as actions at the cells of a 4 by 4 board; some populate, go far or begin anew."""
+    names = F.create_map(*(F.lit(v) for kv in PLAYED for v in kv))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    order = "row_number() over (partition by user_id order by ts, event_id)"
+    nth = F.pmod("event_id", F.lit(23))
+    action = F.when(nth == 3, "populate").when(nth == 5, "farthest").when(nth == 7, "closest").when(nth == 9, "start").when(nth == 11, "clear").when(nth == 13, "N").otherwise(names[F.col("event_type")])
+    return rows.select(F.col("user_id").alias("session_id"), F.expr(order).cast("long").alias("seq"), action.alias("action"), F.pmod("event_id", F.lit(4)).cast("int").alias("x"), F.pmod(F.floor(F.col("event_id") / 4), F.lit(4)).cast("int").alias("y"))
+
+
+def board_of_player(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, board columns): a 4 by 4 board with a target to be brought to (2, 0)."""
+    user = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id")).distinct()
+    kinds = F.array(F.array(F.lit(6), F.lit(512)), F.array(F.lit(6), F.lit(800), F.lit(4097)), F.array(F.lit(0), F.lit(550), F.lit(2048)))
+    return user.select("session_id", F.lit(4).alias("w"), F.lit(4).alias("h"), F.lit(2).alias("gx"), F.lit(0).alias("gy"), (F.pmod("session_id", F.lit(2)) == 0).alias("restricted"), F.lit(True).alias("goal"), F.sort_array(F.get(kinds, F.pmod("session_id", F.lit(3)).cast("int"))).alias("blocks"))
 
 
 SQL_BLOCKS = """
@@ -93,6 +109,6 @@ pieces AS (SELECT board_id, restricted, b, i, (b >> 8) & 7 AS x, (b >> 11) & 7 A
 masks AS (SELECT *, """ + _CELLS + """ AS c, CASE WHEN im THEN 0 WHEN bw > bh THEN 10 WHEN bh > bw THEN 5 ELSE 15 END AS dirs FROM pieces),
 occ AS (SELECT board_id, CAST(bit_or(c) AS BIGINT) AS occ, CAST(coalesce(bit_or(c) FILTER (dirs & 10 > 0), 0) AS BIGINT) AS occ_h, CAST(coalesce(bit_or(c) FILTER (dirs & 5 > 0), 0) AS BIGINT) AS occ_v FROM masks GROUP BY board_id)"""
 SQL_GRAPH = """
-g AS (SELECT -l_suppkey - 1 AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 40),
+g AS (SELECT -l_suppkey - 1 AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL),
 e AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"""
 SQL_POINTS = "pt AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"

@@ -1,30 +1,27 @@
-"""Sessions over a stream of moves."""
+"""Sessions over a stream of actions."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from boardflow.operators.session import RESULT, Session, fold
+from boardflow.operators.session import ACTIONS, RESULT, begun, columns, fold
 
-STATE = "current long, previous long, history array<long>, seen array<long>, counts array<int>, total int"
 
-
-def replay_stream(log: DataFrame, width: int = 3, height: int = 3) -> DataFrame:
+def replay_stream(log: DataFrame, boards: DataFrame) -> DataFrame:
     """As ``operators.session.replay``, kept from batch to batch; rows of a batch are folded in order of seq."""
-    begin = (height // 2) * width + width // 2
+    actions = dict(ACTIONS)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            current, previous, history, seen, counts, total = state.get
-            s = Session(current, begin, previous, list(history), dict(zip(seen, counts, strict=True)), total)
-        else:
-            s = Session(begin, begin, visits={begin: 1})
         rows = pd.concat(list(parts)).sort_values("seq")
-        yield pd.DataFrame(fold(rows, s, width, height), columns=["session_id", "seq", "state", "visits", "total_moves", "history"])
-        state.update((s.current, s.previous, s.history, list(s.visits), list(s.visits.values()), s.total))
+        # what this function itself has written to the state store
+        s = pickle.loads(state.get[0]) if state.exists else begun(rows.iloc[0])
+        yield pd.DataFrame(fold(rows, s, actions), columns=columns()).astype({"distance": "Int32"})
+        state.update((pickle.dumps(s),))
 
-    return log.groupBy("session_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
+    both = log.select("session_id", "seq", "action", "x", "y").join(boards, "session_id")
+    return both.groupBy("session_id").applyInPandasWithState(step, RESULT, "session binary", "append", GroupStateTimeout.NoTimeout)

@@ -91,6 +91,48 @@ def test_space_with_room_for_the_target_alone_is_empty(spark):
     assert statespace.space(statespace.KLOTSKI, 1, spark)[0].isEmpty()
 
 
+def test_large_classes_and_boards_go_by_rounds(spark, monkeypatch):
+    """What no worker may hold is searched by all: the same clusters, and the same states of a board."""
+    states = statespace.space_states(statespace.KLOTSKI, 2, spark)
+    want = sorted(map(tuple, statespace.clusters(states).collect()))
+    boards = spark.createDataFrame([(0, 3, 3, 0, 0, False, False, [0]), (1, 4, 4, 2, 0, False, False, [0, 548])], SCHEMA)
+    reached = {r["state_key"] for r in statespace.explore(boards)[0].collect()}
+    monkeypatch.setattr(statespace, "IN_CLASS", 20)
+    assert sorted(map(tuple, statespace.clusters(states).collect())) == want
+    monkeypatch.setattr(statespace, "AT_ONCE", 20)
+    monkeypatch.setattr(statespace, "SHARED_LEVELS", 3)
+    found, links = statespace.explore(boards)
+    keys = [r["state_key"] for r in found.collect()]
+    assert len(keys) == len(reached) > 100 and {*keys} == reached and links.where("board_id = 0").count() == 24
+
+
+def test_command_line(spark, tmp_path):
+    from boardflow.__main__ import arguments, main
+
+    assert (arguments(["--blocks", "99", "--moves", "-4"]).blocks, arguments(["--blocks", "0"]).blocks, arguments(["--moves", "-4"]).moves) == (15, 1, 0)
+    assert main(["--space", "klotski", "--blocks", "3", "--moves", "8", "--output", str(tmp_path / "c")], spark) == 4
+    found = presets.read(spark, str(tmp_path / "c"), permissive=True).orderBy("idx").collect()
+    assert [r["name"] for r in found] == [f"Cluster {i}" for i in range(4)]
+    keys = [r["blocks"][::-1] for r in found]
+    assert keys == sorted(keys, reverse=True) or len({len(k) for k in keys}) > 1
+
+
+def test_camera():
+    c = display.Camera(distance=10.0)
+    assert [round(v, 6) for v in c.position()] == [0.0, 0.0, 10.0]
+    assert c.rotated(0, 10_000).angle_y == 1.5 and c.rotated(200, 0).angle_x == -1.0
+    assert c.panned(100, 0).target == (-2.0, 0.0, 0.0) and c.followed((1.0, 2.0, 3.0), 0.5).target == (0.5, 1.0, 1.5)
+
+
+def test_distances_are_kept_until_something_changes(spark):
+    d = graph.Distances()
+    links, none = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), spark.createDataFrame([], "id long")
+    assert d.of(links, none) is None and d.empty
+    first = d.of(links, spark.createDataFrame([(1,)], "id long"))
+    assert d.of(links, spark.createDataFrame([(1,)], "id long")) is first and first.count() == 3
+    assert d.of(links, spark.createDataFrame([(3,)], "id long")) is not first and d.of(links, none) is d.found
+
+
 def test_text_codec(spark):
     good = [KLOTSKI, "S:[3x3] M:[R] B:[{1x1 _ _} {2X1 _ _} {_ _ 1*1}]", "B:[{_ _ _} {_ _ _} {_ _ _}] M:[F] S:[3x3]"]
     bad = ["", "S:[3x3] B:[{_}]", "S:[3x3] S:[3x3] M:[R] B:[{_}]", "S:[3x3] M:[R] B:[{9q1 _ _}]", None]
@@ -107,8 +149,15 @@ def test_presets(spark, tmp_path):
     assert [r["name"] for r in got.orderBy("idx").collect()] == ["One", "Two"]
     f.write_text(f"# One\n{KLOTSKI}\n# Two\nS:[3x3] M:[F] B:[{{2X1 _ _}} {{_ _ _}} {{_ _ _}}]\n")
     assert presets.read(spark, str(f)).isEmpty() and presets.read(spark, str(f), permissive=True).count() == 1
-    presets.append(presets.read(spark, str(f), permissive=True).withColumn("name", F.lit("Copy")), str(tmp_path / "out"))
-    assert any("# Copy" in p.read_text() for p in Path(tmp_path / "out").glob("part-*"))
+    good = presets.read(spark, str(f), permissive=True)
+    out = str(tmp_path / "out")
+    for name in ("Zebra", "Ant", "Mole"):  # what is added comes last, whatever its name
+        assert presets.append(good.withColumn("name", F.lit(name)), out)
+    assert not presets.append(good.withColumn("name", F.lit("Bad")).withColumn("goal", F.lit(False)), out)
+    cycle = presets.Cycle.load(spark, out)
+    assert [r["name"] for r in cycle.presets] == ["Zebra", "Ant", "Mole"] and cycle.previous().current["name"] == "Mole" and cycle.next().current["name"] == "Ant"
+    cycle = cycle.saved(good.withColumn("name", F.lit("New")))
+    assert cycle.current["name"] == "New" and len(cycle.presets) == 4 and cycle.reloaded(spark).presets == cycle.presets
     assert presets.neighbour(0, -1, 15) == 14
 
 
@@ -125,7 +174,8 @@ def test_first_empty_and_corners(spark):
 def test_edits(spark):
     b = spark.createDataFrame([(0, 4, 4, 2, 1, False, True, [block(0, 1, 2, 1, 1), block(3, 0, 1, 2)])], SCHEMA)
     r = b.select(P.toggle_target(3, 1).alias("t"), P.toggle_wall(0, 1).alias("wall"), P.toggle_target(0, 0).alias("n"), P.set_goal(2, 1).alias("same"), P.set_goal(0, 3).alias("g"), P.set_goal(3, 3).alias("off"), P.resized(0, -1).alias("row"), P.resized(-1, 0).alias("col"), P.resized(1, 0).alias("wide"), P.add_block(F.lit(block(3, 1, 1, 1))).alias("hit")).first()
-    assert r["t"] == sorted([block(0, 1, 2, 1), block(3, 0, 1, 2, 1)]) and r["wall"] is None and r["n"] is None and r["hit"] is None and r["off"] is None
+    # the goal (2, 1) holds a 1 by 2 block too
+    assert r["t"]["blocks"] == sorted([block(0, 1, 2, 1), block(3, 0, 1, 2, 1)]) and (r["t"]["gx"], r["t"]["gy"], r["t"]["goal"]) == (2, 1, True) and r["wall"] is None and r["n"] is None and r["hit"] is None and r["off"] is None
     assert not r["same"]["goal"] and (r["g"]["gx"], r["g"]["gy"], r["g"]["goal"]) == (0, 3, True)
     assert (r["row"]["h"], r["row"]["gx"], r["row"]["goal"]) == (3, 2, True) and (r["col"]["w"], r["col"]["gx"], r["col"]["goal"]) == (3, 0, False) and r["wide"]["w"] == 5
     assert r["col"]["blocks"] == [block(0, 1, 2, 1, 1)]
@@ -178,14 +228,44 @@ def test_barnes_hut_is_near_the_exact_sum(spark):
 
 
 def test_sessions_batch_and_stream(spark, tmp_path):
-    log = spark.createDataFrame([(s, i, a) for s in (1, 2) for i, a in enumerate(["E", "E", "undo", "N", "undo", "undo", "undo", "start", "W"])], "session_id long, seq long, action string")
-    rows = session.replay(log).orderBy("session_id", "seq").collect()
-    assert [r["state"] for r in rows[:9]] == [5, 5, 4, 1, 4, 4, 4, 4, 3] and rows[8]["total_moves"] == 1
+    log = spark.createDataFrame([(s, i, a, None, None) for s in (1, 2) for i, a in enumerate(["E", "E", "undo", "N", "undo", "undo", "undo", "start", "W"])], "session_id long, seq long, action string, x int, y int")
+    boards = session.lone_block(log)
+    rows = session.replay(log, boards).orderBy("session_id", "seq").collect()
+    at = [(r["blocks"][0] >> 11) * 3 + (r["blocks"][0] >> 8 & 7) for r in rows]
+    assert at[:9] == [5, 5, 4, 1, 4, 4, 4, 4, 3] and rows[8]["total_moves"] == 1
     log.write.parquet(str(tmp_path / "in"))
-    q = replay_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).start()
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    q = replay_stream(stream, boards).writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.sql("select * from sessions").collect())) == sorted(map(tuple, rows))
+    assert sorted(map(str, spark.sql("select * from sessions").collect())) == sorted(map(str, rows))
+
+
+def test_a_session_on_a_board():
+    """A target from (0, 0) to (2, 0) on a restricted 4 by 4 board, with another block in its way."""
+    s = session.Session.begun(session.Board(4, 4, 2, 0, True, True), tuple(sorted([block(0, 0, 2, 1, 1), block(3, 0, 1, 2)])))
+    s.move("E", 0, 0), s.move("E", 1, 0)  # the second is barred
+    assert (s.total, len(s.known), s.links, s.winning, s.path()) == (1, 2, [(0, 1)], set(), [])
+    s.move("S", 3, 1), s.move("E", 1, 0)
+    assert len(s.winning) == 1  # (3, 1) and (3, 2) are taken now, (3, 0) is free
+    assert s.board.solved(s.state()) and s.distances[s.current][0] == 0
+    s.undo(), s.undo()
+    assert (s.total, len(s.history)) == (5, 1) and [s.distances[i][0] for i in (0, 1)] == [3, 2]
+    s.farthest()
+    far = s.distances[s.current][0]
+    assert far == max(d[0] for d in s.distances.values()) and len(s.path()) == far + 1
+    s.hint()
+    assert s.distances[s.current][0] == far - 1
+    s.closest()
+    assert s.distances[s.current][0] == 0
+    s.populate()
+    assert (len(s.known), len(s.links)) == (sum(1 for _ in s.known), 2 * len({frozenset(e) for e in s.links})) and s.visits == {} and s.distances[s.start][0] == 3
+    s.clear()
+    assert (len(s.known), s.links, s.visits, s.winning) == (1, [], {0: 1}, set())
+    s.toggle(1, 3, 1)
+    assert s.edited and any(b & 1 for b in s.state())
+    s.remove(3, 1)
+    assert len(s.state()) == 1 and s.total == 0
 
 
 def test_display(spark):
@@ -217,9 +297,9 @@ def test_whole_graph_queries(spark, tmp_path):
         return d
 
     d = levels([i for i in near if i < 0 and i % 50 == 0])
-    run = {k: f(spark, str(tmp_path)).collect() for k, f in queries.queries().items() if k in ("d1_distances_whole", "d2_paths_whole", "d_components_whole", "r5_ramp_whole")}
-    assert {r["id"]: r["distance"] for r in run["d1_distances_whole"]} == d and max(d.values()) > 12
-    assert {r["node"]: r["component"] for r in run["d_components_whole"]} == {i: min(levels([i])) for i in near}
+    run = {k: f(spark, str(tmp_path)).collect() for k, f in queries.queries().items() if k in ("d1_distances", "d2_paths", "d_components", "r5_ramp")}
+    assert {r["id"]: r["distance"] for r in run["d1_distances"]} == d and max(d.values()) > 12
+    assert {r["node"]: r["component"] for r in run["d_components"]} == {i: min(levels([i])) for i in near}
     ends = {i for i in near if i >= 0 and i % 100 == 0 and i in d}
-    assert {(r["start"], r["step"]) for r in run["d2_paths_whole"]} == {(i, n) for i in ends for n in range(d[i] + 1)}
-    assert {r["id"] for r in run["r5_ramp_whole"]} == set(d)
+    assert {(r["start"], r["step"]) for r in run["d2_paths"]} == {(i, n) for i in ends for n in range(d[i] + 1)}
+    assert {r["id"] for r in run["r5_ramp"]} == set(d)
