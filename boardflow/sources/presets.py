@@ -30,7 +30,7 @@ def read(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
     Unless ``permissive``, nothing if any board is bad or comments don't match; else every good board, with the last
     comment before it in its file.
     """
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     if permissive:
         name = F.last(F.when(F.col("value").startswith("#"), F.trim(F.substring("value", 2, 10_000))), True).over(Window.partitionBy("file").orderBy("line"))
         rows = _numbered(lines.withColumn("name", name), "S").withColumnRenamed("value", "text")
