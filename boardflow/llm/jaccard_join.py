@@ -52,9 +52,9 @@ FLUSH = 1 << 18
 IN_BUCKET = 1 << 21
 #: Members of a hub that are compared with one copy of it; members of a family, or of a shared difference, in a block.
 AROUND = 256
-BLOCK = 2048
+BLOCK = 256
 #: Blocks of a family beyond which its members meet only where they share a difference.
-BLOCKS = 8
+BLOCKS = 32
 
 
 @lru_cache
