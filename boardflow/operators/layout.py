@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardflow.plans.staging import staged
+from boardflow.plans.staging import Rounds, staged
 
 
 @dataclass(frozen=True)
@@ -73,57 +74,100 @@ def cells(coded: DataFrame, depth: int = 21) -> DataFrame:
     return up.groupBy(F.col("d").alias("depth"), F.col("prefix").alias("code")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz"))
 
 
-def repulsion(points: DataFrame, cfg: Config = Config(), level: int = 6, most: int = 200_000) -> DataFrame:
+#: Pairs of a point and a cell that a worker holds at once.
+PAIRS = 1 << 19
+
+_STEP = "id long, x double, y double, z double, code long, depth int, cell long, done boolean, fx double, fy double, fz double"
+
+
+def leaves_and_above(all_cells: DataFrame) -> DataFrame:
+    """The cells of :func:`cells` down to those of one point, with ``above``, the points of the cell above (the root: its own)."""
+    up = all_cells.where("n > 1").select((F.col("depth") + 1).alias("depth"), F.col("code").alias("up"), F.col("n").alias("above"))
+    below = all_cells.where("depth > 0").withColumn("up", F.expr("shiftright(code, 3)")).join(up, ["depth", "up"]).drop("up")
+    return all_cells.where("depth = 0").withColumn("above", F.col("n")).unionByName(below)
+
+
+def repulsion(points: DataFrame, cfg: Config = Config(), most: int = 200_000) -> DataFrame:
     """(id, fx, fy, fz): each point is pushed away by all others; far cells count as one mass at their centre.
 
-    The tree's upper ``level`` levels, at most 8 ** 6 cells and here at most ``most``, go to every task; a point walks
-    down them, opens cells that are near, and meets the points of the near cells at ``level`` one by one through a
-    join on that cell. A cell that holds the point itself is always open.
+    A cell that holds the point itself is always open, a leaf never: that is a cell of one point or of the deepest
+    level, where the others in a point's own leaf are one mass. The cells below those of most points, at most ``most``,
+    go to every task; what a point opens beyond them goes down by joins, a level a round. Points without a place feel and
+    exert nothing.
     """
+    points = points.where(" and ".join(f"{c} is not null and not isnan({c})" for c in "xyz")).select("id", *(F.col(c).cast("double").alias(c) for c in "xyz"))
     box = bounds(points)
     coded = staged(morton(points, box, cfg.depth), "coded")
-    while level > 1 and coded.select(F.expr(f"shiftright(code, 3 * ({cfg.depth} - {level}))")).distinct().limit(most + 1).count() > most:
-        level -= 1
-    tree = cells(coded, cfg.depth).where(F.col("depth") <= level).collect()
-    nodes = {(r["depth"], r["code"]): (r["n"], r["cx"], r["cy"], r["cz"]) for r in tree}
-    theta2, soft, size0, deep = cfg.theta**2, cfg.softening, box["extent"], cfg.depth
-
-    def run(batches):
+    nodes = staged(leaves_and_above(cells(coded, cfg.depth)), "cells")
+    heavy = F.floor(F.log2("above")).cast("int")
+    counts = {r["h"]: r["count"] for r in nodes.groupBy(heavy.alias("h")).count().collect()}
+    least = min((h for h in counts if sum(n for k, n in counts.items() if k >= h) <= most), default=max(counts, default=0) + 1)
+    top = nodes.where((heavy >= least) | (F.col("depth") == 0)).orderBy("depth", "code").toArrow()
+    rounds = Rounds(points.sparkSession, "forces")
+    step = rounds.add(coded.mapInArrow(_walked(top, cfg, box["extent"]), _STEP))
+    while not (near := step.where("not done")).isEmpty():
+        step = rounds.add(_opened(near, nodes, cfg, box["extent"]))
+    return _summed(rounds.all().select("id", "fx", "fy", "fz"))
+
+
+def _walked(top: pa.Table, cfg: Config, extent: float):
+    """Points down the cells of ``top``, all pairs of a level at once: their forces, and rows for what they open beyond."""
+    depth, code, n = (np.asarray(top.column(c)).astype(np.int64) for c in ("depth", "code", "n"))
+    centre = np.stack([np.asarray(top.column(f"c{c}")) for c in "xyz"], axis=1)
+    first, kids = np.zeros(len(code), dtype=np.int64), np.zeros(len(code), dtype=np.int64)
+    for d in np.unique(depth).tolist():
+        here, (lo, hi) = np.flatnonzero(depth == d), np.searchsorted(depth, [d + 1, d + 2])
+        first[here] = lo + np.searchsorted(code[lo:hi], code[here] << 3)
+        kids[here] = lo + np.searchsorted(code[lo:hi], (code[here] + 1) << 3) - first[here]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            out = []
-            for i, x, y, z, code in zip(*(part.column(c).to_pylist() for c in ("id", "x", "y", "z", "code")), strict=True):
-                f, near, stack = np.zeros(3), [], [(0, 0)]
-                while stack:
-                    d, c = stack.pop()
-                    got = nodes.get((d, c))
-                    if got is None:
-                        continue
-                    n, *m = got
-                    own = code >> (3 * (deep - d)) == c
-                    delta = np.array([x - m[0], y - m[1], z - m[2]])
-                    r2 = float(delta @ delta) + soft
-                    if not own and (size0 / (1 << d)) ** 2 / r2 < theta2:
-                        f += delta * (cfg.repulsion * n / r2 / np.sqrt(r2))
-                    elif d == level:
-                        near.append(c)
-                    else:
-                        stack += [(d + 1, (c << 3) | k) for k in range(8)]
-                out.append((i, *f.tolist(), near, x, y, z))
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            types = [pa.int64(), *[pa.float64()] * 3, pa.list_(pa.int64()), *[pa.float64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "fx", "fy", "fz", "near", "x", "y", "z"])
-
-    far = staged(coded.select("id", "x", "y", "z", "code").mapInArrow(run, "id long, fx double, fy double, fz double, near array<long>, x double, y double, z double"), "far")
-    others = coded.select(F.expr(f"shiftright(code, 3 * ({cfg.depth} - {level}))").alias("cell"), F.col("id").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
-    pairs = far.select("id", "x", "y", "z", F.explode("near").alias("cell")).join(others, "cell").where("id <> other")
-    return _summed(far.select("id", "fx", "fy", "fz").unionByName(_pushes(pairs, cfg)))
-
-
-def _pushes(pairs: DataFrame, cfg: Config) -> DataFrame:
-    d = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
-    r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + cfg.softening
-    push = cfg.repulsion * cfg.mass / r2 / F.sqrt(r2)
-    return pairs.select("id", *((v * push).alias(f"f{c}") for c, v in zip("xyz", d, strict=True)))
+            at = np.stack([np.asarray(part.column(c)) for c in "xyz"], axis=1)
+            ids, own_code, force = np.asarray(part.column("id")), np.asarray(part.column("code")), np.zeros(at.shape)
+            stack = [(np.arange(len(at)), np.zeros(len(at), dtype=np.int64))]
+            while stack:
+                i, j = stack.pop()
+                if len(i) > PAIRS:
+                    stack += [(i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
+                    continue
+                own, leaf = own_code[i] >> 3 * (cfg.depth - depth[j]) == code[j], (n[j] == 1) | (depth[j] == cfg.depth)
+                among = own & leaf & (n[j] > 1)
+                others = (n[j] - among).astype(float)
+                mean = np.where(among[:, None], (n[j][:, None] * centre[j] - at[i]) / others[:, None], centre[j])
+                apart = at[i] - mean
+                r2 = (apart * apart).sum(axis=1) + cfg.softening
+                done = leaf | (~own & ((extent / 2.0 ** depth[j]) ** 2 / r2 < cfg.theta**2))
+                push = np.where(done & ~(own & (n[j] == 1)), cfg.repulsion * cfg.mass * others / r2 / np.sqrt(r2), 0.0)
+                for axis in range(3):
+                    force[:, axis] += np.bincount(i, apart[:, axis] * push, len(at))
+                inside, beyond = ~done & (kids[j] > 0), ~done & (kids[j] == 0)
+                if beyond.any():
+                    yield rows(part.take(pa.array(i[beyond])), depth[j[beyond]], code[j[beyond]], False, np.zeros((int(beyond.sum()), 3)))
+                i, j = i[inside], j[inside]
+                if len(i):
+                    stack.append((np.repeat(i, kids[j]), np.arange(kids[j].sum()) + np.repeat(first[j] - np.cumsum(kids[j]) + kids[j], kids[j])))
+            yield rows(part, np.zeros(len(ids)), np.zeros(len(ids)), True, force)
+
+    def rows(part: pa.RecordBatch, depth: np.ndarray, cell: np.ndarray, done: bool, force: np.ndarray) -> pa.RecordBatch:
+        columns = [part.column(c) for c in ("id", "x", "y", "z", "code")] + [pa.array(depth.astype(np.int32)), pa.array(cell.astype(np.int64)), pa.array(np.full(len(depth), done)), *(pa.array(f) for f in force.T.copy())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "x", "y", "z", "code", "depth", "cell", "done", "fx", "fy", "fz"])
+
+    return run
+
+
+def _opened(near: DataFrame, nodes: DataFrame, cfg: Config, extent: float) -> DataFrame:
+    """The cells in those that points open: what they push, or that they are open too."""
+    below = nodes.where("depth > 0").select((F.col("depth") - 1).cast("int").alias("depth"), F.expr("shiftright(code, 3)").alias("cell"), F.col("depth").alias("d"), F.col("code").alias("c"), "n", "cx", "cy", "cz")
+    both = near.drop("done", "fx", "fy", "fz").join(below, ["depth", "cell"])
+    own, leaf = F.expr(f"shiftright(code, 3 * ({cfg.depth} - d)) = c"), F.expr(f"n = 1 or d = {cfg.depth}")
+    among = own & leaf & (F.col("n") > 1)
+    others = F.col("n") - among.cast("int")
+    apart = [F.col(c) - F.when(among, (F.col("n") * F.col(f"c{c}") - F.col(c)) / others).otherwise(F.col(f"c{c}")) for c in "xyz"]
+    r2 = apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2] + cfg.softening
+    size = extent / F.pow(F.lit(2.0), "d")
+    done = leaf | (~own & (size * size / r2 < cfg.theta**2))
+    push = F.when(done & ~(own & (F.col("n") == 1)), cfg.repulsion * cfg.mass * others / r2 / F.sqrt(r2)).otherwise(0.0)
+    return both.select("id", "x", "y", "z", "code", F.col("d").cast("int").alias("depth"), F.col("c").alias("cell"), done.alias("done"), *((v * push).alias(f"f{c}") for c, v in zip("xyz", apart, strict=True)))
 
 
 def _summed(forces: DataFrame) -> DataFrame:

@@ -360,13 +360,25 @@ def l4_springs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id, round(sum(x * 2.5 / r / sqrt(r)), 4) + 0.0 AS fx, round(sum(y * 2.5 / r / sqrt(r)), 4) + 0.0 AS fy, round(sum(z * 2.5 / r / sqrt(r)), 4) + 0.0 AS fz FROM q GROUP BY id""")
 def l10_exact_repulsion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With theta 0 every cell is opened, and the sum is exact."""
-    found = layout.repulsion(V.points(spark, sf_dir), layout.Config(theta=0.0), level=1)
+    found = layout.repulsion(V.points(spark, sf_dir), layout.Config(theta=0.0))
     return found.select("id", *((F.round(f"f{c}", 4) + 0.0).alias(f"f{c}") for c in "xyz"))
 
 
-@_query("l11_barnes_hut")
+@_query("l11_barnes_hut", "WITH RECURSIVE " + V.SQL_POINTS + """, b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS e FROM pt),
+  q AS (SELECT pt.*, CAST(least(floor((x - lx) / e * 2097151), 2097151) AS BIGINT) AS i, CAST(least(floor((y - ly) / e * 2097151), 2097151) AS BIGINT) AS j, CAST(least(floor((z - lz) / e * 2097151), 2097151) AS BIGINT) AS k FROM pt, b),
+  m AS (SELECT id, x, y, z, CAST(list_sum(list_transform(range(21), lambda s: (((i >> CAST(s AS INTEGER)) & 1) | (((j >> CAST(s AS INTEGER)) & 1) << 1) | (((k >> CAST(s AS INTEGER)) & 1) << 2)) << CAST(3 * s AS INTEGER))) AS BIGINT) AS code FROM q),
+  c AS (SELECT CAST(d AS INTEGER) AS depth, code >> CAST(3 * (21 - d) AS INTEGER) AS cell, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM m CROSS JOIN range(22) r(d) GROUP BY 1, 2),
+  w AS (SELECT m.*, depth, cell, n, cx, cy, cz FROM m JOIN c ON depth = 0
+    UNION ALL SELECT w.id, w.x, w.y, w.z, w.code, c.depth, c.cell, c.n, c.cx, c.cy, c.cz FROM w JOIN c ON c.depth = w.depth + 1 AND c.cell >> 3 = w.cell CROSS JOIN b
+    WHERE w.n > 1 AND w.depth < 21 AND (w.code >> CAST(3 * (21 - w.depth) AS INTEGER) = w.cell OR (e / pow(2.0, w.depth)) * (e / pow(2.0, w.depth)) / ((w.x - w.cx) * (w.x - w.cx) + (w.y - w.cy) * (w.y - w.cy) + (w.z - w.cz) * (w.z - w.cz) + 0.05) >= 1)),
+  o AS (SELECT w.*, code >> CAST(3 * (21 - depth) AS INTEGER) = cell AS own, n = 1 OR depth = 21 AS leaf, (e / pow(2.0, depth)) * (e / pow(2.0, depth)) / ((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz) + 0.05) < 1 AS far FROM w, b),
+  t AS (SELECT id, n - own::INT AS h, CASE WHEN own THEN x - (n * cx - x) / (n - 1) ELSE x - cx END AS x, CASE WHEN own THEN y - (n * cy - y) / (n - 1) ELSE y - cy END AS y, CASE WHEN own THEN z - (n * cz - z) / (n - 1) ELSE z - cz END AS z
+    FROM o WHERE NOT (own AND n = 1) AND (leaf OR (far AND NOT own))),
+  f AS (SELECT *, x * x + y * y + z * z + 0.05 AS r FROM t)
+  SELECT m.id, round(coalesce(sum(f.x * 2.5 * h / r / sqrt(r)), 0), 6) + 0.0 AS fx, round(coalesce(sum(f.y * 2.5 * h / r / sqrt(r)), 0), 6) + 0.0 AS fy, round(coalesce(sum(f.z * 2.5 * h / r / sqrt(r)), 0), 6) + 0.0 AS fz FROM m LEFT JOIN f ON f.id = m.id GROUP BY m.id""")
 def l11_barnes_hut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.repulsion(V.points(spark, sf_dir))
+    found = layout.repulsion(V.points(spark, sf_dir))
+    return found.select("id", *((F.round(f"f{c}", 6) + 0.0).alias(f"f{c}") for c in "xyz"))
 
 
 @_query("l7_morton", "WITH " + V.SQL_POINTS + """, b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS e FROM pt),

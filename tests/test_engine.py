@@ -218,10 +218,15 @@ def test_components_of_chains_stars_and_nothing(spark):
 def test_barnes_hut_is_near_the_exact_sum(spark):
     rng = random.Random(1)
     pts = spark.createDataFrame([(i, rng.gauss(0, 5), rng.gauss(0, 5), rng.gauss(0, 5)) for i in range(150)] + [(150, 1.0, 1.0, 1.0), (151, 1.0, 1.0, 1.0)], "id long, x double, y double, z double")
-    exact = {r["id"]: r for r in layout.repulsion(pts, layout.Config(theta=0.0), level=1).collect()}
+    exact = {r["id"]: r for r in layout.repulsion(pts, layout.Config(theta=0.0)).collect()}
     close = {r["id"]: r for r in layout.repulsion(pts, layout.Config(theta=0.5)).collect()}
     size = max(abs(r[f"f{c}"]) for r in exact.values() for c in "xyz")
     assert max(abs(exact[i][f"f{c}"] - close[i][f"f{c}"]) for i in exact for c in "xyz") < 0.1 * size
+    for most in (0, 40):  # the cells beyond go by joins
+        again = {r["id"]: r for r in layout.repulsion(pts, layout.Config(theta=0.5), most).collect()}
+        assert max(abs(again[i][f"f{c}"] - close[i][f"f{c}"]) for i in exact for c in "xyz") < 1e-9 * size and len(again) == len(close)
+    alone = layout.repulsion(pts.where("id = 3").unionByName(pts.where("id = 4").selectExpr("id", "x", "cast(null as double) as y", "z")))
+    assert [(r["id"], r["fx"]) for r in alone.collect()] == [(3, 0.0)] and layout.repulsion(pts.limit(0)).isEmpty()
     start = layout.seeded(pts.select("id"))
     moved = layout.layout(start, spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"), 2)
     assert moved.count() == 152
