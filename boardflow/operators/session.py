@@ -61,6 +61,7 @@ class Session:
 
     board: Board
     known: dict[State, int] = field(default_factory=dict)
+    states: list[State] = field(default_factory=list)
     links: list[tuple[int, int]] = field(default_factory=list)
     winning: set[int] = field(default_factory=set)
     current: int = 0
@@ -79,10 +80,13 @@ class Session:
         return s
 
     def state(self, number: int | None = None) -> State:
-        return list(self.known)[self.current if number is None else number]
+        return self.states[self.current if number is None else number]
 
     def insert(self, state: State) -> int:
-        return self.known.setdefault(state, len(self.known))
+        if state not in self.known:
+            self.known[state] = len(self.states)
+            self.states.append(state)
+        return self.known[state]
 
     def update(self, state: State) -> None:
         """Go to a state, known or not; a new one is linked with the one before."""
@@ -105,7 +109,7 @@ class Session:
         """Distances anew; what was known stays where there is no link or no solved state."""
         if not self.links or not self.winning:
             return
-        states = list(self.known)
+        states = self.states
         order = sorted(range(len(states)), key=lambda i: self.board.order(states[i]))
         rank = np.argsort(order)
         src, dst = (rank[np.array(e)] for e in zip(*self.links, strict=True))
@@ -115,7 +119,7 @@ class Session:
 
     def reset(self, state: State) -> None:
         """Forget the graph and begin it anew with a state."""
-        self.known, self.links, self.winning, self.distances, self.history = {}, [], set(), {}, []
+        self.known, self.states, self.links, self.winning, self.distances, self.history = {}, [], [], set(), {}, []
         self.current = self.previous = self.start = self.insert(state)
         self.visits = {0: 1}
 
@@ -167,7 +171,8 @@ class Session:
         first, now = self.state(self.start), self.state()
         b = self.board
         blocks, _, _ = local.closure(np.array([first]), np.array([0]), b.w, b.h, b.restricted, 1 << 62, 1 << 30)
-        self.known = {tuple(r): i for i, r in enumerate(blocks.tolist())}
+        self.states = [tuple(r) for r in blocks.tolist()]
+        self.known = {s: i for i, s in enumerate(self.states)}
         row, after = local.steps(blocks, b.w, b.h, b.restricted)
         self.links = [(i, self.known[tuple(r)]) for i, r in zip(row.tolist(), after.tolist(), strict=True)]
         self.visits, self.history = {}, []

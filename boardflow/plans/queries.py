@@ -389,10 +389,14 @@ def l7_morton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.morton(at, layout.bounds(at)).select("id", "code")
 
 
-@_query("l6_cells")
+@_query("l6_cells", "WITH " + V.SQL_POINTS + """, b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS e FROM pt),
+  q AS (SELECT pt.*, CAST(least(floor((x - lx) / e * 2097151), 2097151) AS BIGINT) AS i, CAST(least(floor((y - ly) / e * 2097151), 2097151) AS BIGINT) AS j, CAST(least(floor((z - lz) / e * 2097151), 2097151) AS BIGINT) AS k FROM pt, b),
+  m AS (SELECT x, y, z, CAST(list_sum(list_transform(range(21), lambda s: (((i >> CAST(s AS INTEGER)) & 1) | (((j >> CAST(s AS INTEGER)) & 1) << 1) | (((k >> CAST(s AS INTEGER)) & 1) << 2)) << CAST(3 * s AS INTEGER))) AS BIGINT) AS code FROM q)
+  SELECT CAST(d AS INTEGER) AS depth, code >> CAST(3 * (21 - d) AS INTEGER) AS code, count(*) AS n, round(avg(x), 6) + 0.0 AS cx, round(avg(y), 6) + 0.0 AS cy, round(avg(z), 6) + 0.0 AS cz FROM m CROSS JOIN range(22) r(d) GROUP BY 1, 2""")
 def l6_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = V.points(spark, sf_dir)
-    return layout.cells(layout.morton(at, layout.bounds(at)))
+    found = layout.cells(layout.morton(at, layout.bounds(at)))
+    return found.select("depth", "code", "n", *((F.round(f"c{c}", 6) + 0.0).alias(f"c{c}") for c in "xyz"))
 
 
 @_query("l12_verlet", "WITH " + V.SQL_POINTS + " SELECT id, round(x + x * 0.1 * 0.9 + y * (4.0 / 90) * (4.0 / 90), 6) AS x, round(y + y * 0.1 * 0.9 + z * (4.0 / 90) * (4.0 / 90), 6) AS y, round(z + z * 0.1 * 0.9 + x * (4.0 / 90) * (4.0 / 90), 6) AS z FROM pt")
