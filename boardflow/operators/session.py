@@ -50,9 +50,19 @@ class Board:
         return next((b for b in state if 0 <= x - (b >> 8 & 7) <= (b >> 2 & 7) and 0 <= y - (b >> 11 & 7) <= (b >> 5 & 7)), None)
 
     def moved(self, state: State, block: int, way: str) -> State | None:
-        after = tuple(sorted({*state} - {block} | {block + STEP[way]}))
-        _, found = local.steps(np.array([state]), self.w, self.h, self.restricted)
-        return after if any(tuple(r) == after for r in found.tolist()) else None
+        """The state after a block's step, if it may go that way and what it enters is free and on the board."""
+        x, y, w, h = block >> 8 & 7, block >> 11 & 7, (block >> 2 & 7) + 1, (block >> 5 & 7) + 1
+        level = way in "EW"
+        if block & 1 or (self.restricted and (h > w if level else w > h)):
+            return None
+        ex, ey, ew, eh = {"N": (x, y - 1, w, 1), "E": (x + w, y, 1, h), "S": (x, y + h, w, 1), "W": (x - 1, y, 1, h)}[way]
+        if not (0 <= ex < self.w and 0 <= ey < self.h):
+            return None
+        for b in state:
+            bx, by = b >> 8 & 7, b >> 11 & 7
+            if b != block and bx < ex + ew and ex <= bx + (b >> 2 & 7) and by < ey + eh and ey <= by + (b >> 5 & 7):
+                return None
+        return tuple(sorted({*state} - {block} | {block + STEP[way]}))
 
 
 @dataclass
@@ -273,7 +283,9 @@ def replay(log: DataFrame, boards: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=columns()).astype({"distance": "Int32"})
 
     both = log.select("session_id", "seq", "action", "x", "y").join(boards.select("session_id", *BOARD), "session_id")
-    return both.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, RESULT)
+    # a row costs far more here than its bytes say, so tasks aren't coalesced by bytes
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, "session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, RESULT)
 
 
 def lone_block(sessions: DataFrame, width: int = 3, height: int = 3) -> DataFrame:

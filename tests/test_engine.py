@@ -6,12 +6,13 @@ import random
 from collections import deque
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from boardflow.functions import bits
 from boardflow.functions import boards as P
-from boardflow.operators import display, graph, layout, session, statespace
+from boardflow.operators import display, graph, layout, local, session, statespace
 from boardflow.operators.components import connected_components
 from boardflow.plans import queries
 from boardflow.sources import presets
@@ -246,6 +247,21 @@ def test_sessions_batch_and_stream(spark, tmp_path):
     assert sorted(map(str, spark.sql("select * from sessions").collect())) == sorted(map(str, rows))
 
 
+def test_a_step_is_one_of_the_legal_ones():
+    rng = random.Random(4)
+    for _ in range(300):
+        state = []
+        for _ in range(rng.randint(1, 6)):
+            x, y = rng.randrange(5), rng.randrange(4)
+            new = (x, y, rng.randint(1, 5 - x), rng.randint(1, min(2, 4 - y)))
+            if not any(x < a + c and a < x + new[2] and y < b + d and b < y + new[3] for a, b, c, d in state):
+                state.append(new)
+        board = session.Board(5, 4, 0, 0, rng.random() < 0.5, False)
+        blocks = tuple(sorted(block(*b, 0, int(rng.random() < 0.1)) for b in state))
+        got = [after for b in blocks for way in session.STEP if (after := board.moved(blocks, b, way))]
+        assert sorted(got) == sorted(map(tuple, local.steps(np.array([blocks]), 5, 4, board.restricted)[1].tolist()))
+
+
 def test_a_session_on_a_board():
     """A target from (0, 0) to (2, 0) on a restricted 4 by 4 board, with another block in its way."""
     s = session.Session.begun(session.Board(4, 4, 2, 0, True, True), tuple(sorted([block(0, 0, 2, 1, 1), block(3, 0, 1, 2)])))
