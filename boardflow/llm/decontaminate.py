@@ -32,6 +32,8 @@ RAREST, SPAN = 4, 30
 #: Bytes of text in a shard, and of test items in a block.
 SHARD = 1 << 21
 BLOCK = 4 << 20
+#: What stands for a null id of an item.
+NO_ID = -(1 << 63)
 #: Bits of the table of terms that items may have.
 ASKED_BITS = 23
 INDEX = "shard long, docs binary, offsets binary, keys binary, terms binary"
@@ -291,13 +293,18 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int =
 
     spans: words inside any occurrence of a window; items: whose windows these are; near: items whose ``rare`` rarest
     terms lie at most ``span`` words from the rarest of them, and its first such place, in words from 0. Rarity is
-    counted over all documents; items of fewer different terms are looked up with what they have. Items with a null
-    id or text take no part, repeated ones count once; a very long item is in one block.
+    counted over all documents; items of fewer different terms are looked up with what they have. Items without an id
+    give spans, but are not in the lists; those without a text take no part, repeated ones count once; a very long
+    item is in one block.
     """
     tk.for_long_rows(docs.sparkSession)
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    rows = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     stored = staged(index(docs, asked(rows)), "postings")
 
+    def named(out: DataFrame) -> DataFrame:
+        lists = {"items": F.filter("items", lambda i: i != NO_ID), "near": F.filter("near", lambda m: m["item"] != NO_ID)}
+        return out.withColumns(lists)
+
     def found(ids: list[int], texts: list[str]) -> DataFrame:
         p = windows(ids, texts, window)
         if rare and len(p.terms):
@@ -311,22 +318,22 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int =
     first = found(*next(blocks))
     second = next(blocks, None)
     if second is None:
-        return first
+        return named(first)
     every = Rounds(docs.sparkSession, "blocks")  # written, so that the driver holds one block at a time
     every.add(first)
     while second is not None:
         every.add(found(*second))
         second = next(blocks, None)
     lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")]
-    return every.all().groupBy("shard", "nth", "doc_id", "n_words").agg(*lists)
+    return named(every.all().groupBy("shard", "nth", "doc_id", "n_words").agg(*lists))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, most: int = BLOCK, rare: int = RAREST, span: int = SPAN) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row.
 
     A word is hit if it lies inside any occurrence of a window of an item; contaminated: some word is, and
-    ``share`` * n_hit >= n_words. n_near counts the items with a proximity match, which decides nothing here. A null
-    or empty text has no words; items without words match nothing, and without items nothing is hit. Very long texts
+    ``share`` * n_hit >= n_words. n_near counts the items with a proximity match, which decides nothing here. Items
+    without an id hit words, but are not counted. A null or empty text has no words; items without words match nothing, and without items nothing is hit. Very long texts
     are read whole. Repeated rows come back as often. Other columns are not looked at. An empty table gives no rows.
     """
     out = matches(docs, items, window, most, rare, span).select("doc_id", "n_words", "spans", "items", "near")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boardflow.llm import decontaminate, html_text, langid, mixing, running
+from boardflow.llm import bitsliced, decontaminate, html_text, langid, linkgraph, mixing, running
 
 PAGES = "page_id long, url string, html string"
 
@@ -120,3 +120,26 @@ def test_stages_lose_no_rows(spark, folder):
     # eight texts of 30 words and one of 20 share 150 %: some are read twice, and rows without an id are among them
     assert len(mixed) >= 9 and any(r["doc_id"] is None for r in mixed) and {(r["times"], r["nth"], r["row"]) for r in mixed} == {(2, 3, 4)}
     assert corpus_pipeline.assign_shards(spark, docs, folder).count() == len(rows)
+
+
+def test_odd_items_vectors_and_ties(spark):
+    """Items without an id, very long and repeated ones; clashing columns everywhere; a host just at the factor."""
+    rng = random.Random(21)
+    long = [f"v{rng.randrange(5000)}" for _ in range(30_000)]
+    rows = [(1, " ".join(long[100:140])), (2, " ".join(long[20_000:20_012])), (3, "only this here"), (3, "only this here"), (None, "only this here"), (4, " ".join(long))]
+    items = [(10, " ".join(long)), (None, "only this"), (11, "this here"), (11, "this here")]
+    docs = spark.createDataFrame([(*r, 7, 7, "x", 7) for r in rows], "doc_id long, text string, n_words long, n_hit long, items string, item_id long")
+    table = spark.createDataFrame([(*i, 7, "x", 7) for i in items], "item_id long, text string, doc_id long, terms string, n long")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.decontaminate(docs, table).collect()), key=str)
+    # an item without an id hits words, but isn't counted; of items that repeat, one is
+    assert got == sorted([(1, 40, 40, 1), (2, 12, 0, 0), *[(k, 3, 3, 1) for k in (3, 3, None)], (4, 30_000, 30_000, 1)], key=str)
+
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], 5, 5, 5) for i in range(60)], "vec_id long, embedding array<double>, rank int, score long, query_id long")
+    best = bitsliced.top_k(vectors, F.col("vec_id") % 50 == 0).where("query_id = 50").orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in best] == [(k + 1, 59 - k, 65536 * (50 * (59 - k) + 1)) for k in range(5)]
+
+    # both hosts get as much trust as distrust: with a factor of 1 that is a tie, and allowed
+    page = "<a href='//b.com/'>"
+    pages = spark.createDataFrame([(i, u, h, "x", "x") for i, u, h in [(1, "http://a.com/fr/", page), (2, "http://a.com/de/", page), (3, "http://a.com/x", None), (4, "http://a.com/x", None)]], "page_id long, url string, html string, kind string, host string")
+    for factor, verdict in ((1.0, "allow"), (0.9, "block")):
+        assert [r["verdict"] for r in linkgraph.judge(pages, factor=factor).where("page_id > 2").collect()] == [verdict] * 2
