@@ -18,6 +18,11 @@ Components come without all pairs of a group:
    and its hub, ``D(x) ^ D(y) = x ^ y``: an x not linked with the hub shares a shingle of D(x) with each y it links
    with, and one of any ``k + 1`` of them. So only holders that share such a shingle are compared, in blocks.
 4. Links go through connected components.
+
+Most holders of a signature share a passage and no more. So texts are fetched only for what may link: each set has a
+sketch, its shingles counted in ``SKETCH`` places by hash, and two sets differ by at least as much as their sketches.
+A member that is too far by this from its hub isn't compared with it, and one too far from all others of its family
+takes no part in step 3.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from boardflow.llm import textkernel as tk
 from boardflow.llm.running import HOT, looked_up
 from boardflow.operators.components import connected_components
-from boardflow.plans.staging import staged
+from boardflow.plans.staging import discard, staged
 
 U = np.uint64
 #: In one flush of a task, holders of a signature beyond which only the smallest goes to the shuffle.
@@ -53,6 +58,8 @@ IN_BUCKET = 1 << 21
 #: Members of a hub that are compared with one copy of it; members of a family, or of a shared difference, in a block.
 AROUND = 256
 BLOCK = 256
+#: Places of a sketch; a byte each, in which larger counts stand as 255.
+SKETCH = 256
 #: Blocks of a family beyond which its members meet only where they share a difference.
 BLOCKS = 32
 
@@ -143,7 +150,7 @@ def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digests(n: int, num: int, den: int, share: int):
-    """Size, signatures and digest of each set; of a sample of texts, share of 2**32, also the set."""
+    """Size, signatures, digest and sketch of each set; of a sample of texts, share of 2**32, also the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
@@ -153,9 +160,12 @@ def _digests(n: int, num: int, den: int, share: int):
             a, b = (tk.sums(tk.mix(h ^ U(s)), owner, len(sizes)) for s in (0x1234567, 0x89ABCDEF01))
             both = np.stack([a, b], axis=1).tobytes()
             digest = pa.array([both[16 * i : 16 * i + 16] if s else None for i, s in enumerate(sizes.tolist())], pa.binary())
+            counts = np.bincount(owner * SKETCH + (tk.mix(h ^ U(0x5EED)) % U(SKETCH)).astype(np.int64), minlength=len(sizes) * SKETCH)
+            counts = np.minimum(counts, 255).astype(np.uint8).tobytes()
+            sketch = pa.array([counts[SKETCH * i : SKETCH * (i + 1)] if s else None for i, s in enumerate(sizes.tolist())], pa.binary())
             drawn = (tk.mix(a) >> U(32)) < U(share)  # by content, so that copies weigh as one text or none
             some = pa.array([h[i:j].astype("<u8").tobytes() if d else None for i, j, d in zip(off[:-1].tolist(), off[1:].tolist(), drawn.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(given(sizes, num, den)), digest, some], ["doc_id", "n_shingles", "n_sigs", "digest", "drawn"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(given(sizes, num, den)), digest, sketch, some], ["doc_id", "n_shingles", "n_sigs", "digest", "sketch", "drawn"])
 
     return run
 
@@ -248,6 +258,69 @@ def _hubs(group: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "h": pa.array(pairs[:, 1], pa.int64()), "crowd": pa.array(pairs[:, 2] > 0, pa.bool_())})
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+
+
+def _may(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m shingles may link: they differ by at least as much as their sketches a and b do."""
+    apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
+    return den * (n + m - apart) >= num * (n + m + apart)
+
+
+def _near(num: int, den: int):
+    """Rows sorted by (hub, salt) with the hub's own row first: may a member link with its hub?"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = (-1, -1, 0, np.zeros(SKETCH, dtype=np.int16))
+        for part in batches:
+            if not part.num_rows:
+                continue
+            h, salt, x, n = (np.asarray(part.column(c)) for c in ("h", "salt", "x", "n"))
+            sketch = _sketches(part.column("sketch"))
+            # the batch with the last hub before it in front
+            key = np.concatenate([[hub[:2]], np.stack([h, salt], axis=1)])
+            size, all_ = np.concatenate([[hub[2]], n]), np.concatenate([[hub[3]], sketch])
+            at = np.maximum.accumulate(np.concatenate([[0], np.where(x == h, np.arange(1, len(x) + 1), 0)]))
+            hub = (*key[at[-1]].tolist(), size[at[-1]], all_[at[-1]])
+            at = at[1:]
+            assert (key[at] == key[1:]).all(), "the hub's row comes first"
+            near = _may(sketch, all_[at], n, size[at], num, den)
+            yield part.append_column("near", pa.array(near)).filter(pa.array(x != h)).select(["h", "x", "m", "n", "near", "sketch"])
+
+    return run
+
+
+def _alive(num: int, den: int):
+    """Rows sorted by (h, blocks): (h, x) of members that may link with another of their family."""
+
+    def some(h: int, rows: list[tuple]) -> pa.RecordBatch:
+        x, side, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+        sketch = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        found = np.zeros(len(rows), dtype=bool)
+        for i in np.flatnonzero(side != 2).tolist():  # 0: one block against itself
+            others = np.flatnonzero(side == 2) if side[i] else np.arange(i + 1, len(rows))
+            good = others[_may(sketch[others], sketch[i], n[others], n[i], num, den)]
+            found[good] = True
+            found[i] |= len(good) > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.full(found.sum(), h)), pa.array(x[found])], ["h", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            out = []
+            for g, *row in zip(zip(*(part.column(c).to_pylist() for c in ("h", "blocks")), strict=True), *(part.column(c).to_pylist() for c in ("x", "side", "n", "sketch")), strict=True):
+                if g != now:
+                    out += [some(now[0], held)] if len(held) > 1 else []
+                    held, now = [], g
+                held.append(row)
+            yield from out
+        if len(held) > 1:
+            yield some(now[0], held)
+
+    return run
+
+
 def _compared(n: int, num: int, den: int):
     """Rows sorted by (hub, salt) with the hub's own row first: each member against its hub."""
 
@@ -358,7 +431,7 @@ def _beside(num: int, den: int):
 
 def _infos(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     share = min(1 << 32, (SAMPLE << 32) // max(1, texts.count()))
-    return staged(texts.mapInArrow(tk.lean(_digests(n, num, den, share)), "doc_id long, n_shingles long, n_sigs long, digest binary, drawn binary"), "sets")
+    return staged(texts.mapInArrow(tk.lean(_digests(n, num, den, share)), "doc_id long, n_shingles long, n_sigs long, digest binary, sketch binary, drawn binary"), "sets")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -391,19 +464,13 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     holders = local.unionByName(far).unionByName(through)
     to = classes.select("doc_id", "rep").distinct()
     pairs = holders.join(to.toDF("x", "rx"), "x").join(to.toDF("h", "rh"), "h").where("rx <> rh")
-    pairs = staged(pairs.groupBy(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).agg(F.max("crowd").alias("crowd")), "pairs")
-    # families: the members of a hub, in groups of at most about AROUND, with the hub's row in each
-    # written, so that the join deals both sides anew and a hub of very many holders can be split
-    sizes = staged(pairs.groupBy("h").agg(F.count("*").alias("all"), F.count(F.when(F.col("crowd"), 1)).alias("m")), "sizes")
-    salts = F.ceil(F.col("all") / AROUND).cast("int")
-    members = pairs.join(sizes, "h").select("h", "x", F.when(F.col("crowd"), F.col("m")).otherwise(0).alias("m"), F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
-    heads = sizes.select("h", F.col("h").alias("x"), "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rows = members.unionByName(heads)
-    wanted = staged(rows.select("x").distinct(), "wanted")
-    # texts are dealt by id at every size: a plan that turns from broadcast to shuffle has no proportion to its input
-    chosen = _perhaps(ids, wanted.withColumnRenamed("x", "doc_id")).join(wanted.withColumnRenamed("x", "doc_id").hint("merge"), "doc_id")  # not a semi-join: that would be moved below the filter
-    chosen = chosen.groupBy("doc_id").agg(F.first("text").alias("text"))
-    compared = rows.join(chosen.withColumnRenamed("doc_id", "x"), "x").repartition("h", "salt").sortWithinPartitions("h", "salt", F.col("x") != F.col("h"))
+    holding = staged(pairs.groupBy(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).agg(F.max("crowd").alias("crowd")), "pairs")
+    discard(both)
+    pairs = _sifted(holding, info, num, den)
+    rows, *used = _families(pairs)
+    chosen = _of(ids, rows)
+    chosen = chosen.groupBy(F.col("doc_id").alias("x")).agg(F.first("text").alias("text"))
+    compared = _by_hub(rows, chosen)
     compared = staged(compared.select("h", "salt", "x", "m", "text").mapInArrow(tk.lean(_compared(n, num, den)), "h long, x long, m long, n long, linked boolean, delta binary"), "compared")
     stars = compared.where("linked").select(F.col("x").alias("src"), F.col("h").alias("dst"))
     # beside the hubs: members that don't link with theirs, against the others of the family
@@ -415,13 +482,63 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     found = large.mapInArrow(tk.lean(_prefixes(num, den)), "h long, e long, x long, loose boolean")
     meets = found.groupBy("h", "e").agg(F.count("*").alias("m"), F.max("loose").alias("any")).where("m > 1 and any")
     spots = found.join(meets, ["h", "e"]).select("h", "e", "x", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
-    spots = small.unionByName(spots.join(large.select("h", "x", "n", "loose", "delta"), ["h", "x"]).select(*held))
-    # a block meets itself and every other: blocks = (a, b), a <= b, side 1 for a, 2 for b
-    spots = spots.withColumn("o", F.pmod(F.xxhash64("x"), F.col("g")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct((F.least(j, F.col("o")) * F.col("g") + F.greatest(j, F.col("o"))).alias("blocks"), F.when(j == F.col("o"), 0).when(F.col("o") < j, 1).otherwise(2).alias("side")))
-    spots = spots.withColumn("b", F.explode(meet)).select("h", "e", "b.blocks", "x", "b.side", "n", "loose", "delta")
+    spots = _in_blocks(small.unionByName(spots.join(large.select("h", "x", "n", "loose", "delta"), ["h", "x"]).select(*held)))
+    spots = spots.select("h", "e", "blocks", "x", "side", "n", "loose", "delta")
     beside = spots.repartition("h", "e", "blocks").sortWithinPartitions("h", "e", "blocks").mapInArrow(tk.lean(_beside(num, den)), "src long, dst long")
-    return classes, staged(stars.unionByName(beside).distinct(), "edges")
+    links = staged(stars.unionByName(beside).distinct(), "edges")
+    discard(holding, pairs, compared, *used)
+    return classes, links
+
+
+def _families(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, salt, x, m): the members of a hub, in groups of at most about AROUND, with the hub's row in each; and what was written for it.
+
+    m is the number of members that others beside the hub may link with, 0 for the rest.
+    """
+    # written, so that the join deals both sides anew and a hub of very many holders can be split
+    sizes = staged(pairs.groupBy("h").agg(F.count("*").alias("all"), F.count(F.when(F.col("crowd"), 1)).alias("m")), "sizes")
+    salts = F.ceil(F.col("all") / AROUND).cast("int")
+    members = pairs.join(sizes, "h").select("h", "x", F.when(F.col("crowd"), F.col("m")).otherwise(0).alias("m"), F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
+    heads = sizes.select("h", F.col("h").alias("x"), "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return members.unionByName(heads), sizes
+
+
+def _of(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows, by their doc_id, of all that :func:`_families` has."""
+    wanted = staged(members.select(F.col("x").alias("doc_id")).distinct(), "wanted")
+    # rows are dealt by id at every size: a plan that turns from broadcast to shuffle has no proportion to its input
+    return _perhaps(rows, wanted).join(wanted.hint("merge"), "doc_id")  # not a semi-join: that would be moved below the filter
+
+
+def _by_hub(members: DataFrame, rows: DataFrame) -> DataFrame:
+    return members.join(rows, "x").repartition("h", "salt").sortWithinPartitions("h", "salt", F.col("x") != F.col("h"))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows in one of g blocks, once for each block: blocks = (a, b), a <= b, side 1 for a, 2 for b, 0 for a block with itself."""
+    rows = rows.withColumn("o", F.pmod(F.xxhash64("x"), F.col("g")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct((F.least(j, F.col("o")) * F.col("g") + F.greatest(j, F.col("o"))).alias("blocks"), F.when(j == F.col("o"), 0).when(F.col("o") < j, 1).otherwise(2).alias("side")))
+    return rows.withColumn("b", F.explode(meet)).select("*", "b.blocks", "b.side")
+
+
+def _sifted(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, h, crowd) of which x may link with h or, being of a crowd, with another member; crowd: with another.
+
+    Families of more than BLOCKS blocks keep their crowds.
+    """
+    rows, sizes = _families(pairs)
+    sets = _of(info.where("sketch is not null").select("doc_id", "n_shingles", "sketch"), rows)
+    sets = sets.groupBy(F.col("doc_id").alias("x")).agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    near = _by_hub(rows, sets).select("h", "salt", "x", "m", "n", "sketch")
+    near = staged(near.mapInArrow(tk.lean(_near(num, den)), "h long, x long, m long, n long, near boolean, sketch binary"), "near")
+    family = near.where("m > 1").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
+    spots = _in_blocks(family.where(F.col("g") <= BLOCKS)).select("h", "blocks", "x", "side", "n", "sketch")
+    alive = spots.repartition("h", "blocks").sortWithinPartitions("h", "blocks").mapInArrow(tk.lean(_alive(num, den)), "h long, x long")
+    alive = alive.unionByName(family.where(F.col("g") > BLOCKS).select("h", "x"))
+    found = near.where("near").select("x", "h", F.lit(False).alias("crowd")).unionByName(alive.select("x", "h", F.lit(True).alias("crowd")))
+    found = staged(found.groupBy("x", "h").agg(F.max("crowd").alias("crowd")), "sifted")
+    discard(near, sizes)
+    return found
 
 
 def _perhaps(rows: DataFrame, ids: DataFrame) -> DataFrame:

@@ -124,6 +124,34 @@ def test_jaccard_join_beside_a_local_hub(spark, monkeypatch):
     assert [i for i in want if found[i] != want[i]] == []
 
 
+def test_jaccard_join_of_a_shared_passage(spark, monkeypatch):
+    """Most texts that share a passage and no more are not compared with a hub (474 were): copies of texts and differences take disk."""
+    monkeypatch.setattr(jaccard_join, "_seen", lambda info: np.zeros(1 << jaccard_join.SEEN_BITS, dtype=np.uint8))
+    written, real = {}, jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name: written.setdefault(name, []).append(real(df, name)) or written[name][-1])
+    monkeypatch.setattr(jaccard_join, "discard", lambda *dfs: None)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"t{i}w{j}" for j in range(60)), "en", "a") for i in range(60)]
+    rows += [(100 + i, f"{t} more", "en", "a") for i, t, *_ in rows[::10]]
+    want = components([(r[0], r[1]) for r in rows], 5, 80, 100)
+    got = jaccard_join.jaccard_join(docs(spark, rows), 5, 80, 100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    compared = [r for df in written["compared"] for r in df.where("x <> h").select("x", "h").collect()]
+    assert len(compared) < 100 and len({c for _, c in want.values()}) == 60
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(5)
+    for size, num in ((3, 80), (60, 90), (900, 80), (20_000, 90)):
+        a = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        for changed in (0, 1, size // 20, size // 12, size // 9):
+            b = np.concatenate([a[changed:], rng.integers(0, 1 << 62, changed).astype(np.uint64)])
+            n, both = np.array([size]), len(np.intersect1d(a, b))
+            sketch = [np.minimum(np.bincount((tk.mix(x) % np.uint64(256)).astype(int), minlength=256), 255).astype(np.int16)[None] for x in (a, b)]
+            linked = 100 * both >= num * (2 * size - both)
+            assert not linked or jaccard_join._may(*sketch, n, n, num, 100)[0]
+
+
 def test_mix(spark):
     rows = [(i, t, "en", random.Random(i).choice(["a", "a", "a", "b", "c", None])) for i, t in enumerate(corpus(3))] + ODD
     got = [r.asDict() for r in mixing.mix(docs(spark, rows)).collect()]
