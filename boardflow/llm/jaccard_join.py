@@ -269,7 +269,7 @@ def _may(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, d
 
 
 def _near(num: int, den: int):
-    """Rows sorted by (hub, salt) with the hub's own row first: may a member link with its hub?"""
+    """Rows sorted by (hub, salt) with the hub's own row first: (h, x) of members that may link with their hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = (-1, -1, 0, np.zeros(SKETCH, dtype=np.int16))
@@ -286,20 +286,21 @@ def _near(num: int, den: int):
             at = at[1:]
             assert (key[at] == key[1:]).all(), "the hub's row comes first"
             near = _may(sketch, all_[at], n, size[at], num, den)
-            yield part.append_column("near", pa.array(near)).filter(pa.array(x != h)).select(["h", "x", "m", "n", "near", "sketch"])
+            yield part.select(["h", "x"]).filter(pa.array(near & (x != h)))
 
     return run
 
 
 def _alive(num: int, den: int):
-    """Rows sorted by (h, blocks): (h, x) of members that may link with another of their family."""
+    """Rows sorted by (h, blocks): (h, x) of members that may link with one of their family in another component."""
 
     def some(h: int, rows: list[tuple]) -> pa.RecordBatch:
-        x, side, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        x, side, n, c = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
         found = np.zeros(len(rows), dtype=bool)
         for i in np.flatnonzero(side != 2).tolist():  # 0: one block against itself
             others = np.flatnonzero(side == 2) if side[i] else np.arange(i + 1, len(rows))
+            others = others[c[others] != c[i]]
             good = others[_may(sketch[others], sketch[i], n[others], n[i], num, den)]
             found[good] = True
             found[i] |= len(good) > 0
@@ -309,7 +310,7 @@ def _alive(num: int, den: int):
         held, now = [], None
         for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             out = []
-            for g, *row in zip(zip(*(part.column(c).to_pylist() for c in ("h", "blocks")), strict=True), *(part.column(c).to_pylist() for c in ("x", "side", "n", "sketch")), strict=True):
+            for g, *row in zip(zip(*(part.column(c).to_pylist() for c in ("h", "blocks")), strict=True), *(part.column(c).to_pylist() for c in ("x", "side", "n", "c", "sketch")), strict=True):
                 if g != now:
                     out += [some(now[0], held)] if len(held) > 1 else []
                     held, now = [], g
@@ -359,12 +360,12 @@ def _prefixes(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out_h, out_x, out_u, out_e = [], [], [], []
-            for h, x, n, linked, delta in zip(*(part.column(c).to_pylist() for c in ("h", "x", "n", "linked", "delta")), strict=True):
+            for h, x, n, loose, delta in zip(*(part.column(c).to_pylist() for c in ("h", "x", "n", "loose", "delta")), strict=True):
                 d = np.frombuffer(delta, dtype="<u8")
-                if not linked:  # the largest partner has n * den / num shingles
+                if loose:  # the largest partner has n * den / num shingles
                     d = d[: int(differ(num, den, n + n * den // num)) + 1]
                 out_e.append(d.view(np.int64))
-                out_h.append(np.full(len(d), h)), out_x.append(np.full(len(d), x)), out_u.append(np.full(len(d), not linked))
+                out_h.append(np.full(len(d), h)), out_x.append(np.full(len(d), x)), out_u.append(np.full(len(d), loose))
             if out_e:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_h, out_e, out_x, out_u)], ["h", "e", "x", "loose"])
 
@@ -372,7 +373,7 @@ def _prefixes(num: int, den: int):
 
 
 def _beside(num: int, den: int):
-    """Rows sorted by (h, e, blocks): links of members not linked with the hub, as a forest of each group."""
+    """Rows sorted by (h, e, blocks): links of members apart from the hub to other components, as a forest of each group."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         sides = [[r for r in rows if r[2] != 2], [r for r in rows if r[2] != 1]]  # 0: one block against itself
@@ -397,13 +398,13 @@ def _beside(num: int, den: int):
             owner = np.repeat(np.arange(len(sets)), size)
             order = np.argsort(codes, kind="stable")
             codes, owner = codes[order], owner[order]
-            n = np.array([r[3] for r in many])
+            n, c = (np.array([r[i] for r in many]) for i in (3, 6))
             for r in few:
                 own = np.frombuffer(r[5], dtype="<u8")
                 a, b = np.searchsorted(codes, own), np.searchsorted(codes, own, side="right")
                 hit = np.concatenate([owner[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) if len(own) else np.zeros(0, dtype=np.int64)
                 apart = len(own) + size - 2 * np.bincount(hit, minlength=len(sets))
-                good = den * (n + r[3] - apart) >= num * (n + r[3] + apart)
+                good = (den * (n + r[3] - apart) >= num * (n + r[3] + apart)) & (c != r[6])
                 for j in np.flatnonzero(good).tolist():
                     if (y := many[j][1]) != r[1] and (p := find(r[1])) != (q := find(y)):
                         root[p] = q
@@ -418,7 +419,7 @@ def _beside(num: int, den: int):
 
         for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             found = []
-            for g, *row in zip(zip(*(part.column(c).to_pylist() for c in ("h", "e", "blocks")), strict=True), *(part.column(c).to_pylist() for c in ("h", "x", "side", "n", "loose", "delta")), strict=True):
+            for g, *row in zip(zip(*(part.column(c).to_pylist() for c in ("h", "e", "blocks")), strict=True), *(part.column(c).to_pylist() for c in ("h", "x", "side", "n", "loose", "delta", "c")), strict=True):
                 if g != now:
                     found += links(held) if len(held) > 1 else []
                     held, now = [], g
@@ -466,30 +467,41 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     pairs = holders.join(to.toDF("x", "rx"), "x").join(to.toDF("h", "rh"), "h").where("rx <> rh")
     holding = staged(pairs.groupBy(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).agg(F.max("crowd").alias("crowd")), "pairs")
     discard(both)
-    pairs = _sifted(holding, info, num, den)
-    rows, *used = _families(pairs)
-    chosen = _of(ids, rows)
-    chosen = chosen.groupBy(F.col("doc_id").alias("x")).agg(F.first("text").alias("text"))
-    compared = _by_hub(rows, chosen)
-    compared = staged(compared.select("h", "salt", "x", "m", "text").mapInArrow(tk.lean(_compared(n, num, den)), "h long, x long, m long, n long, linked boolean, delta binary"), "compared")
-    stars = compared.where("linked").select(F.col("x").alias("src"), F.col("h").alias("dst"))
-    # beside the hubs: members that don't link with theirs, against the others of the family
-    family = compared.where("delta is not null")
-    held = ["h", "e", "x", "g", "n", "loose", "delta"]
-    family = family.withColumn("loose", ~F.col("linked")).withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
-    small = family.where(F.col("g") <= BLOCKS).withColumn("e", F.lit(0).cast("long")).select(*held)
-    large = family.where(F.col("g") > BLOCKS).drop("g")
+    near = _near_hubs(holding, info, num, den)
+    rows, *used = _families(near.withColumn("crowd", F.lit(False)))
+    compared = _against_hubs(ids, rows, n, num, den)
+    stars = staged(compared.where("linked").select(F.col("x").alias("src"), F.col("h").alias("dst")), "stars")
+    discard(near, compared, *used)
+    # beside the hubs: members that the stars leave apart from their hub, against the others of the family
+    crowds = _crowds(holding.where("crowd").select("h", "x"), staged(connected_components(stars).toDF("node", "c"), "connected"))
+    alive = _sifted(crowds, info, num, den)
+    rows, *used = _families(alive.where("x <> h").withColumn("crowd", F.lit(True)))
+    compared = _against_hubs(ids, rows, n, num, den)
+    more = compared.where("linked").select(F.col("x").alias("src"), F.col("h").alias("dst"))
+    held = ["h", "e", "x", "n", "loose", "delta", "c"]
+    family = compared.where("delta is not null").join(alive, ["h", "x"]).withColumn("loose", F.col("apart") & ~F.col("linked"))
+    family, sizes = _sized(family.select("h", "x", "n", "loose", "delta", "c"), ["h"], "loose")
+    small = family.where(~_heavy()).withColumn("e", F.lit(0).cast("long")).select(*held, "go", "gc")
+    large = family.where(_heavy())
     found = large.mapInArrow(tk.lean(_prefixes(num, den)), "h long, e long, x long, loose boolean")
-    meets = found.groupBy("h", "e").agg(F.count("*").alias("m"), F.max("loose").alias("any")).where("m > 1 and any")
-    spots = found.join(meets, ["h", "e"]).select("h", "e", "x", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
-    spots = _in_blocks(small.unionByName(spots.join(large.select("h", "x", "n", "loose", "delta"), ["h", "x"]).select(*held)))
-    spots = spots.select("h", "e", "blocks", "x", "side", "n", "loose", "delta")
+    spots, spot_sizes = _sized(found, ["h", "e"], "loose")
+    spots = spots.select("h", "e", "x", "go", "gc").join(large.select("h", "x", "n", "loose", "delta", "c"), ["h", "x"])
+    spots = _in_blocks(small.unionByName(spots.select(*held, "go", "gc")), "loose")
+    spots = spots.select("h", "e", "blocks", "x", "side", "n", "loose", "delta", "c")
     beside = spots.repartition("h", "e", "blocks").sortWithinPartitions("h", "e", "blocks").mapInArrow(tk.lean(_beside(num, den)), "src long, dst long")
-    links = staged(stars.unionByName(beside).distinct(), "edges")
-    discard(holding, pairs, compared, *used)
+    links = staged(stars.unionByName(more).unionByName(beside).distinct(), "edges")
+    discard(holding, stars, crowds, alive, compared, sizes, spot_sizes, *used)
     return classes, links
 
 
+def _against_hubs(texts: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The members of :func:`_families` against their hub's text: whether they link, and their differences where m > 1."""
+    chosen = _of(texts, rows)
+    chosen = chosen.groupBy(F.col("doc_id").alias("x")).agg(F.first("text").alias("text"))
+    compared = _by_hub(rows, chosen).select("h", "salt", "x", "m", "text")
+    return staged(compared.mapInArrow(tk.lean(_compared(n, num, den)), "h long, x long, m long, n long, linked boolean, delta binary"), "compared")
+
+
 def _families(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(h, salt, x, m): the members of a hub, in groups of at most about AROUND, with the hub's row in each; and what was written for it.
 
@@ -514,33 +526,86 @@ def _by_hub(members: DataFrame, rows: DataFrame) -> DataFrame:
     return members.join(rows, "x").repartition("h", "salt").sortWithinPartitions("h", "salt", F.col("x") != F.col("h"))
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows in one of g blocks, once for each block: blocks = (a, b), a <= b, side 1 for a, 2 for b, 0 for a block with itself."""
-    rows = rows.withColumn("o", F.pmod(F.xxhash64("x"), F.col("g")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct((F.least(j, F.col("o")) * F.col("g") + F.greatest(j, F.col("o"))).alias("blocks"), F.when(j == F.col("o"), 0).when(F.col("o") < j, 1).otherwise(2).alias("side")))
-    return rows.withColumn("b", F.explode(meet)).select("*", "b.blocks", "b.side")
+def _sized(rows: DataFrame, by: list[str], flag: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups that have the flag at some of several members, with go and gc: blocks of those with it and without; and what was written for it."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("m"), F.count(F.when(F.col(flag), 1)).alias("o")).where("m > 1 and o > 0")
+    sizes = staged(counts.select(*by, *(F.ceil(c / BLOCK).cast("long").alias(g) for c, g in ((F.col("o"), "go"), (F.col("m") - F.col("o"), "gc")))), "sizes")
+    return rows.join(sizes, by), sizes
+
 
+def _heavy() -> Column:
+    """Whether members meet more than BLOCKS blocks each on average, as :func:`_in_blocks` has them meet."""
+    go, all_ = F.col("go"), F.col("go") + F.col("gc")
+    return go * all_ + F.col("gc") * go > BLOCKS * all_
 
-def _sifted(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, h, crowd) of which x may link with h or, being of a crowd, with another member; crowd: with another.
 
-    Families of more than BLOCKS blocks keep their crowds.
+def _in_blocks(rows: DataFrame, flag: str) -> DataFrame:
+    """Rows in a block of those with the flag or of those without, once for each block met: those without meet only those with it.
+
+    blocks = (a, b), a <= b, side 1 for a, 2 for b, 0 for a block with itself.
     """
+    spread, all_ = F.xxhash64("x"), F.col("go") + F.col("gc")
+    rows = rows.withColumn("o", F.when(F.col(flag), F.pmod(spread, "go")).otherwise(F.col("go") + F.pmod(spread, F.greatest("gc", F.lit(1)))))
+    last = F.when(F.col(flag), all_).otherwise(F.col("go")) - 1
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda j: F.struct((F.least(j, F.col("o")) * all_ + F.greatest(j, F.col("o"))).alias("blocks"), F.when(j == F.col("o"), 0).when(F.col("o") < j, 1).otherwise(2).alias("side")))
+    return rows.withColumn("b", F.explode(meet)).select("*", "b.blocks", "b.side")
+
+
+def _sketched(info: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, n, sketch) of all that the members have."""
+    sets = _of(info.where("sketch is not null").select("doc_id", "n_shingles", "sketch"), members)
+    return sets.groupBy(F.col("doc_id").alias("x")).agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+
+
+def _near_hubs(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, h) of which x may link with h."""
     rows, sizes = _families(pairs)
-    sets = _of(info.where("sketch is not null").select("doc_id", "n_shingles", "sketch"), rows)
-    sets = sets.groupBy(F.col("doc_id").alias("x")).agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    near = _by_hub(rows, sets).select("h", "salt", "x", "m", "n", "sketch")
-    near = staged(near.mapInArrow(tk.lean(_near(num, den)), "h long, x long, m long, n long, near boolean, sketch binary"), "near")
-    family = near.where("m > 1").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
-    spots = _in_blocks(family.where(F.col("g") <= BLOCKS)).select("h", "blocks", "x", "side", "n", "sketch")
-    alive = spots.repartition("h", "blocks").sortWithinPartitions("h", "blocks").mapInArrow(tk.lean(_alive(num, den)), "h long, x long")
-    alive = alive.unionByName(family.where(F.col("g") > BLOCKS).select("h", "x"))
-    found = near.where("near").select("x", "h", F.lit(False).alias("crowd")).unionByName(alive.select("x", "h", F.lit(True).alias("crowd")))
-    found = staged(found.groupBy("x", "h").agg(F.max("crowd").alias("crowd")), "sifted")
-    discard(near, sizes)
+    near = _by_hub(rows, _sketched(info, rows)).select("h", "salt", "x", "n", "sketch")
+    near = staged(near.mapInArrow(tk.lean(_near(num, den)), "h long, x long"), "near")
+    discard(sizes)
+    return near
+
+
+def _crowds(held: DataFrame, connected: DataFrame) -> DataFrame:
+    """(h, x, c, apart): the members of families that are not all in one component; x is in component c, apart if that isn't h's.
+
+    Near copies of one text hold many signatures with as many hubs, and each pair of them would meet in many of these
+    families. So families in which the same component is the most common are made one, around a hub in that component
+    or its smallest text, where that makes fewer pairs; a pair that met in one of them meets there.
+    """
+    held = held.join(connected.toDF("h", "own"), "h", "left").join(connected.toDF("x", "c"), "x", "left")
+    held = staged(held.select("h", "x", F.coalesce("own", "h").alias("own"), F.coalesce("c", "x").alias("c")), "held")
+    m, cost, home = F.count("*").alias("m"), (F.col("o") + BLOCK) * F.col("m"), F.col("c") == F.col("own")
+    each = held.groupBy("h", "own", "c").agg(m).groupBy("h", "own")
+    # the hub itself is one of its component
+    each = each.agg(F.sum("m").alias("m"), F.sum(F.when(home, 0).otherwise(F.col("m"))).alias("o"), F.max(F.struct((F.col("m") + home.cast("int")).alias("n"), home.alias("home"), (-F.col("c")).alias("c"))).alias("top"))
+    each = staged(each.select("h", "own", "m", "o", F.when(F.col("top.n") > 1, -F.col("top.c")).otherwise(F.col("own")).alias("f")), "each")
+    inside = F.when(F.col("own") == F.col("f"), F.struct((F.col("m") - F.col("o")).alias("n"), (-F.col("h")).alias("h")))
+    single = each.groupBy("f").agg(F.sum(F.when(F.col("o") > 0, cost).otherwise(0)).alias("single"), F.max(inside).alias("top"))
+    one = held.join(each.select("h", "f"), "h").select("f", "x", "c").distinct()
+    one = one.groupBy("f").agg(m, F.count(F.when(F.col("c") != F.col("f"), 1)).alias("o")).where("o > 0")
+    plan = one.join(single, "f").select("f", F.when(cost <= F.col("single"), F.coalesce(-F.col("top.h"), F.col("f"))).alias("pivot"))
+    plan = staged(each.select("h", "f").join(plan, "f"), "plan")
+    mixed = F.col("c") != F.when(F.col("pivot").isNull(), F.col("own")).otherwise(F.col("f"))
+    found = staged(held.join(plan, "h").select(F.coalesce("pivot", "h").alias("h"), "x", "c", mixed.alias("apart")).distinct(), "crowds")
+    discard(held, each, plan, connected)
     return found
 
 
+def _sifted(crowds: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The members of :func:`_crowds` that may link with one of their family in another component.
+
+    Families whose members meet in more than BLOCKS blocks keep all.
+    """
+    family, sizes = _sized(crowds, ["h"], "apart")
+    some = family.where(~_heavy())
+    spots = _in_blocks(some.join(_sketched(info, some), "x"), "apart").select("h", "blocks", "x", "side", "n", "c", "sketch")
+    alive = spots.repartition("h", "blocks").sortWithinPartitions("h", "blocks").mapInArrow(tk.lean(_alive(num, den)), "h long, x long")
+    alive = staged(alive.distinct().join(crowds, ["h", "x"]).unionByName(family.where(_heavy()).select("h", "x", "c", "apart")), "sifted")
+    discard(sizes)
+    return alive
+
+
 def _perhaps(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id may be among ``ids``, by one bit of a table of 2**FILTER_BITS: 2 MB to broadcast at most."""
 

@@ -140,6 +140,34 @@ def test_jaccard_join_of_a_shared_passage(spark, monkeypatch):
     assert len(compared) < 100 and len({c for _, c in want.values()}) == 60
 
 
+def near_copies(rng, m, far):
+    """A text of 80 words with up to one word changed in m copies, and 3 in ``far`` of them more."""
+    rows = []
+    for i in range(m + far):
+        w = [f"v{j}" for j in range(80)]
+        for _ in range(rng.randint(0, 1) if i < m else 3):
+            w[rng.randrange(80)] = f"x{rng.randrange(10_000)}"
+        rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return [(i, t, "en", "a") for i, t in enumerate(rows)]
+
+
+def test_jaccard_join_of_near_copies_makes_rows_in_proportion(spark, monkeypatch):
+    """Copies that links with hubs connect don't meet again in blocks, nor in the family of every signature (rows grew with the square)."""
+    made, real = [], jaccard_join._in_blocks
+    monkeypatch.setattr(jaccard_join, "_in_blocks", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(jaccard_join, "discard", lambda *dfs: None)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    counts = []
+    for m in (150, 450):
+        rows = near_copies(random.Random(m), m, 10)
+        got = jaccard_join.jaccard_join(docs(spark, rows), 3, 85, 100).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components([(r[0], r[1]) for r in rows], 3, 85, 100)
+        counts.append(sum(df.count() for df in made))
+        made.clear()
+    assert 0 < counts[0] and counts[1] < 4 * counts[0] and counts[1] < 4 * len(rows), counts
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(5)
     for size, num in ((3, 80), (60, 90), (900, 80), (20_000, 90)):
