@@ -464,7 +464,9 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     through = local.join(far.select(F.col("x").alias("h"), F.col("h").alias("top")).distinct(), "h").select("x", F.col("top").alias("h"), "crowd")
     holders = local.unionByName(far).unionByName(through)
     to = classes.select("doc_id", "rep").distinct()
-    pairs = holders.join(to.toDF("x", "rx"), "x").join(to.toDF("h", "rh"), "h").where("rx <> rh")
+    # copies hold the same signatures: they are one row of each hub before hubs are looked up
+    holders = holders.join(to.toDF("x", "rx"), "x").groupBy("rx", "h").agg(F.max("crowd").alias("crowd"))
+    pairs = holders.join(to.toDF("h", "rh"), "h").where("rx <> rh")
     holding = staged(pairs.groupBy(F.greatest("rx", "rh").alias("x"), F.least("rx", "rh").alias("h")).agg(F.max("crowd").alias("crowd")), "pairs")
     discard(both)
     near = _near_hubs(holding, info, num, den)
@@ -582,13 +584,12 @@ def _crowds(held: DataFrame, connected: DataFrame) -> DataFrame:
     each = staged(each.select("h", "own", "m", "o", F.when(F.col("top.n") > 1, -F.col("top.c")).otherwise(F.col("own")).alias("f")), "each")
     inside = F.when(F.col("own") == F.col("f"), F.struct((F.col("m") - F.col("o")).alias("n"), (-F.col("h")).alias("h")))
     single = each.groupBy("f").agg(F.sum(F.when(F.col("o") > 0, cost).otherwise(0)).alias("single"), F.max(inside).alias("top"))
-    one = held.join(each.select("h", "f"), "h").select("f", "x", "c").distinct()
-    one = one.groupBy("f").agg(m, F.count(F.when(F.col("c") != F.col("f"), 1)).alias("o")).where("o > 0")
-    plan = one.join(single, "f").select("f", F.when(cost <= F.col("single"), F.coalesce(-F.col("top.h"), F.col("f"))).alias("pivot"))
-    plan = staged(each.select("h", "f").join(plan, "f"), "plan")
+    named = staged(held.join(each.select("h", "f"), "h"), "named")
+    one = named.select("f", "x", "c").distinct().groupBy("f").agg(m, F.count(F.when(F.col("c") != F.col("f"), 1)).alias("o")).where("o > 0")
+    plan = staged(one.join(single, "f").select("f", F.when(cost <= F.col("single"), F.coalesce(-F.col("top.h"), F.col("f"))).alias("pivot")), "plan")
     mixed = F.col("c") != F.when(F.col("pivot").isNull(), F.col("own")).otherwise(F.col("f"))
-    found = staged(held.join(plan, "h").select(F.coalesce("pivot", "h").alias("h"), "x", "c", mixed.alias("apart")).distinct(), "crowds")
-    discard(held, each, plan, connected)
+    found = staged(named.join(plan, "f").select(F.coalesce("pivot", "h").alias("h"), "x", "c", mixed.alias("apart")).distinct(), "crowds")
+    discard(held, each, named, plan, connected)
     return found
 
 
